@@ -71,9 +71,14 @@ def fit_vocabulary(train: DataFrame, size: int, terms: str = "terms") -> list[st
     return sorted(kept["term"])
 
 
-def count_arrays(df: DataFrame, vocabulary: Sequence[str], terms: str = "terms") -> DataFrame:
-    """Replace ``terms`` by ``indices`` and ``counts`` of the vocabulary terms of the row."""
-    model = CountVectorizerModel.from_vocabulary(list(vocabulary), inputCol=terms, outputCol="_vector")
+def term_counter(vocabulary: Sequence[str], terms: str = "terms") -> CountVectorizerModel:
+    """The dictionary of the vocabulary, to be made once per vocabulary: it is sent to the JVM term by term."""
+    return CountVectorizerModel.from_vocabulary(list(vocabulary), inputCol=terms, outputCol="_vector")
+
+
+def count_arrays(df: DataFrame, model: CountVectorizerModel) -> DataFrame:
+    """Replace the terms by ``indices`` and ``counts`` of the vocabulary terms of the row."""
+    terms = model.getInputCol()
     others = [c for c in df.columns if c != terms]
     vector = F.unwrap_udt(F.col("_vector"))
     return model.transform(df).select(*others, vector.alias("_v")).select(

@@ -11,22 +11,24 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimsift.fixed_values import LINEAR_ALPHA, LOGISTIC_C, MASKS_TRAINING, MAX_ITERATIONS, NB_ALPHA
 from claimsift.operators.features import (
-    count_arrays, encode_labels, fit_label_encoder, fit_vocabulary, idf_smooth, long_form, weight_arrays, with_terms,
-    write_features,
+    count_arrays, encode_labels, fit_label_encoder, fit_vocabulary, idf_smooth, long_form, term_counter, weight_arrays,
+    with_terms, write_features,
 )
 from claimsift.operators.metrics import accuracy, confusion_counts, per_class_report, weighted_average
 from claimsift.session import materialise
 
 BROADCAST_BYTES = 256 * 1024 * 1024
+ROWS_PER_TASK = 20_000
 
 
 @dataclass
@@ -39,10 +41,14 @@ class Vectoriser:
     low: int = 1
     high: int = 2
 
+    @cached_property
+    def counter(self) -> CountVectorizerModel:
+        return term_counter(self.vocabulary)
+
     def transform(self, df: DataFrame, text: str = "claim") -> DataFrame:
         """Replace the text by ``indices`` and ``weights``."""
         terms = with_terms(df, text, self.stop_words, self.low, self.high).drop(text)
-        return weight_arrays(count_arrays(terms, self.vocabulary), self.idf)
+        return weight_arrays(count_arrays(terms, self.counter), self.idf)
 
 
 @dataclass
@@ -66,8 +72,11 @@ def fit_vectoriser(
     words = [*stop_words, *masks]
     terms = with_terms(train, text, words, low, high).drop(text)
     vocabulary = fit_vocabulary(terms, size)
-    counted = materialise(count_arrays(terms, vocabulary), "counts")
-    return Vectoriser(vocabulary, materialise(idf_smooth(counted), "idf"), words, low, high), counted
+    counter = term_counter(vocabulary)
+    counted = materialise(count_arrays(terms, counter), "counts")
+    vectoriser = Vectoriser(vocabulary, materialise(idf_smooth(counted), "idf"), words, low, high)
+    vectoriser.counter = counter
+    return vectoriser, counted
 
 
 def class_names(df: DataFrame, label: str = "tag_clean") -> list[str]:
@@ -101,10 +110,16 @@ def train_naive_bayes(
     )
 
 
+def right_size(vectors: DataFrame, rows: int) -> DataFrame:
+    """Merge small partitions (never split): a solver step costs more per task than per row."""
+    wanted = max(1, -(-rows // ROWS_PER_TASK))
+    return vectors.coalesce(wanted)
+
+
 def _coefficient_table(spark: SparkSession, matrix: np.ndarray) -> DataFrame:
     """One row per vocabulary term; the matrix comes from the solver, which holds it on the driver anyway."""
-    table = pd.DataFrame({"idx": np.arange(matrix.shape[1], dtype="int32"), "coef": list(matrix.T)})
-    return materialise(spark.createDataFrame(table, "idx int, coef array<double>"), "coefficients")
+    rows = list(enumerate(matrix.T.tolist()))
+    return materialise(spark.createDataFrame(rows, "idx int, coef array<double>"), "coefficients")
 
 
 def train_logistic(
@@ -211,8 +226,10 @@ def prepare_training(
     terms = with_terms(split.select(*keep, "claim"), "claim", words).drop("claim")
     is_train = F.col("split") == "train"
     vocabulary = fit_vocabulary(terms.where(is_train), size)
-    counted = materialise(count_arrays(terms, vocabulary), "counts")
+    counter = term_counter(vocabulary)
+    counted = materialise(count_arrays(terms, counter), "counts")
     vectoriser = Vectoriser(vocabulary, materialise(idf_smooth(counted.where(is_train)), "idf"), words)
+    vectoriser.counter = counter
     weighted = weight_arrays(counted, vectoriser.idf)
     if not vectors:
         return TrainingTable(vectoriser, class_names(counted.where(is_train)), weighted)
@@ -223,8 +240,10 @@ def prepare_training(
 
 def train_all(table: TrainingTable) -> list[LinearTextModel]:
     """The three classifiers in their fixed order, each with its training time."""
-    train_vectors = table.vectors.where("split = 'train'").select("features", "label").persist()
     train_arrays = table.arrays.where("split = 'train'")
+    train_vectors = right_size(
+        table.vectors.where("split = 'train'").select("features", "label"), train_arrays.count()
+    ).persist()
     try:
         train_vectors.count()
         models = []

@@ -58,24 +58,31 @@ def tag_state(events: DataFrame) -> DataFrame:
     return latest_changes(events, "tag", "engine", "confidence")
 
 
+def _with_claim(requests: DataFrame, right: DataFrame) -> DataFrame:
+    """Requests joined with one row per claim.  Requests without a readable id stay out of the join:
+    their missing keys would all meet in one task.  A claim requested very often is split by the
+    adaptive skew join."""
+    parsed = requests.withColumn("claim_id", parse_claim_id("id"))
+    joined = parsed.where(F.col("claim_id").isNotNull()).join(right, "claim_id", "left")
+    return joined.unionByName(parsed.where(F.col("claim_id").isNull()), allowMissingColumns=True)
+
+
 def resolve_requests(requests: DataFrame, claims: DataFrame) -> DataFrame:
     """Add ``claim_id``, the claim's content and ``status``: invalid_id, not_found or found."""
     known = claims.select(F.col("id").alias("claim_id"), "content", F.lit(True).alias("known"))
-    parsed = requests.withColumn("claim_id", parse_claim_id("id"))
     status = (
         F.when(F.col("claim_id").isNull(), "invalid_id").when(F.col("known"), "found").otherwise("not_found")
     )
-    return parsed.join(known, "claim_id", "left").withColumn("status", status).drop("known")
+    return _with_claim(requests, known).withColumn("status", status).drop("known")
 
 
 def validate_requests(requests: DataFrame, claim: str = "user_claim") -> DataFrame:
     return requests.withColumn("status", request_status(claim))
 
 
-def _resolve_ids(requests: DataFrame, claims: DataFrame, results: DataFrame) -> DataFrame:
+def _resolve_ids(requests: DataFrame, results: DataFrame) -> DataFrame:
     """Requests with the result of their claim; only ids and results are shuffled, never texts."""
-    parsed = requests.withColumn("claim_id", parse_claim_id("id"))
-    return parsed.join(results, "claim_id", "left").withColumn(
+    return _with_claim(requests, results).withColumn(
         "status",
         F.when(F.col("claim_id").isNull(), "invalid_id").otherwise(F.coalesce("status", F.lit("not_found"))),
     )
@@ -97,7 +104,7 @@ def auto_tag_ml(requests: DataFrame, claims: DataFrame, model: LinearTextModel)
     refused = asked.where("status <> 'valid'").select(
         "claim_id", "status", F.lit(None).cast("string").alias("tag"), F.lit(None).cast("double").alias("confidence")
     )
-    return _resolve_ids(requests, claims, scored.unionByName(refused)).select(
+    return _resolve_ids(requests, scored.unionByName(refused)).select(
         "request_id", "claim_id", "status", "tag", "confidence",
         F.when(F.col("status") == "tagged", F.lit("ml")).alias("engine"),
     )
@@ -114,7 +121,7 @@ def auto_tag_external(
         F.when(F.col("prediction_raw").isNull(), "no_answer").otherwise("tagged").alias("status"),
         F.when(F.col("prediction_raw").isNotNull(), normalise_tag("prediction_raw", allowed)).alias("tag"),
     )
-    return _resolve_ids(requests, claims, answered).select("request_id", "claim_id", "status", "prediction_raw", "tag")
+    return _resolve_ids(requests, answered).select("request_id", "claim_id", "status", "prediction_raw", "tag")
 
 
 def prompts(requests: DataFrame, claims: DataFrame) -> DataFrame:

@@ -163,10 +163,10 @@ FROM bins LEFT JOIN filled ON filled.bin = bins.bin, ext""",
     "length_density": f"""WITH {CLEAN},
 capped AS (SELECT CAST(word_count AS DOUBLE) AS x FROM clean WHERE word_count <= 1000),
 ext AS (SELECT min(x) AS lo, max(x) AS hi, stddev_samp(x) * pow(count(*), -CAST(0.2 AS DOUBLE)) AS bw FROM capped),
-grid AS (SELECT p, lo + p * (hi - lo) / 199 AS at FROM (SELECT unnest(range(200)) AS p), ext)
-SELECT CAST(p AS INT) AS point, round(at, 6) AS x,
-       round(sum(exp(-(at - x) * (at - x) / (2 * bw * bw)) / (bw * sqrt(2 * pi()))) * any_value((hi - lo) / 50), 6) AS density
-FROM grid, capped, ext GROUP BY p, at""",
+grid AS (SELECT p, lo + p * (hi - lo) / 199 AS g FROM (SELECT unnest(range(200)) AS p), ext)
+SELECT CAST(p AS INT) AS point, round(g, 6) AS x,
+       round(sum(exp(-(g - capped.x) * (g - capped.x) / (2 * bw * bw)) / (bw * sqrt(2 * pi()))) * any_value((hi - lo) / 50), 6) AS density
+FROM grid, capped, ext GROUP BY p, g""",
     "length_box_stats": f"""WITH {CLEAN},
 capped AS (SELECT tag_clean, word_count AS x FROM clean WHERE word_count <= 1000 AND tag_clean IS NOT NULL),
 q AS (SELECT tag_clean, count(*) AS n, quantile_cont(CAST(x AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(x AS DOUBLE), 0.5) AS median,
@@ -175,7 +175,7 @@ SELECT tag_clean, n, q1, median, q3,
        least(min(CASE WHEN x >= q1 - 1.5 * (q3 - q1) THEN CAST(x AS DOUBLE) END), q1) AS whisker_low,
        greatest(max(CASE WHEN x <= q3 + 1.5 * (q3 - q1) THEN CAST(x AS DOUBLE) END), q3) AS whisker_high,
        count(CASE WHEN x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1) THEN 1 END) AS n_outliers
-FROM capped JOIN q USING (tag_clean) GROUP BY ALL""",
+FROM capped JOIN q USING (tag_clean) GROUP BY tag_clean, n, q1, median, q3""",
     "tokenise": f"""SELECT doc_id AS claim_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS digest
 FROM (SELECT doc_id, {TOKENS.format("text")} AS t FROM documents)""",
     "remove_stop_words": _filter_oracle(STOPS),

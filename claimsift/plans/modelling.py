@@ -63,7 +63,7 @@ def term_frequency(spark, sf):
     train = split.where("split = 'train'")
     vectoriser, _ = models.fit_vectoriser(train.select("claim_id", "claim"), SIZE, STOPS)
     terms = features.with_terms(split.select("claim_id", "claim"), "claim", vectoriser.stop_words).drop("claim")
-    counted = features.count_arrays(terms, vectoriser.vocabulary).withColumnRenamed("counts", "weights")
+    counted = features.count_arrays(terms, vectoriser.counter).withColumnRenamed("counts", "weights")
     rows = _named(spark, vectoriser, features.long_form(counted, "claim_id"))
     return rows.select("claim_id", "term", F.round(F.log("weight") + 1.0, 6).alias("tf"))
 
@@ -134,7 +134,12 @@ def metrics_report(spark, sf):
 
 def _solver(spark, sf, fit):
     table = _training(spark, sf, vectors=True)
-    model = fit(table.vectors.where("split = 'train'"), table.vectoriser, table.labels)
+    rows = table.vectors.where("split = 'train'")
+    train = models.right_size(rows, rows.count()).persist()
+    try:
+        model = fit(train, table.vectoriser, table.labels)
+    finally:
+        train.unpersist()
     return _predictions(models.score(_test_rows(table), model, "claim_id", "tag_clean"), table.labels)
 
 

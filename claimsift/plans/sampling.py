@@ -32,7 +32,7 @@ def split_report(spark, sf):
 def _seed_rows(spark, sf):
     keys = sampling.balanced_seed(_docs(spark, sf))
     texts = documents(spark, sf).select(F.col("doc_id").alias("claim_id"), F.col("text").alias("claim"))
-    return texts.join(keys, "claim_id")
+    return texts.join(F.broadcast(keys), "claim_id")  # a hundred keys
 
 
 def seed_json_round_trip(spark, sf):

@@ -126,10 +126,11 @@ def split_table(spark: SparkSession, sf_dir: str, sample: bool = False) -> DataF
     Everything up to the sides works on keys; texts are joined last and the table is written once.
     """
     texts, keys = corpus_keys(spark, sf_dir)
-    sides = materialise(stratified_split(keys.drop("digest")), "sides")
+    sides = stratified_split(keys.drop("digest"))
     if sample:
+        sides = materialise(sides, "sides")
         size = sides.where("split = 'test'").count() // 2
-        sides = materialise(nested_sample(sides, size), "sides")
+        sides = nested_sample(sides, size)
     return materialise(texts.join(sides, "claim_id"), "split")
 
 

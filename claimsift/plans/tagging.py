@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimsift.fixed_values import ALLOWED_TAGS
+from claimsift.fixed_values import ALLOWED_TAGS, MASKS_TRAINING, MAX_ATTEMPTS
 from claimsift.functions import answers
 from claimsift.operators import external, models, tagging
 from claimsift.plans.modelling import bayes_sql, naive_bayes
 from claimsift.plans.tables import (
-    ANSWERS, APP_CLAIMS, REQUEST_TEXTS, TAG_EVENTS, TAG_REQUESTS, documents, planted, planted_sql, table,
+    ANSWERS, APP_CLAIMS, REQUEST_TEXTS, STOPS, TAG_EVENTS, TAG_REQUESTS, documents, planted, planted_sql, table,
+    words_sql,
 )
 from claimsift.session import materialise, new_path
 from claimsift.sources.claims_table import append_claims, read_claims_table, reset_claims
@@ -135,7 +136,7 @@ class PlannedClient:
         planned = n % 7 if n % 7 != 6 else 5
         seen = self.failures.get(prompt, 0)
         if seen < planned:
-            self.failures[prompt] = seen + 1
+            self.failures[prompt] = (seen + 1) % MAX_ATTEMPTS
             raise RuntimeError("429 RESOURCE_EXHAUSTED")
         self.failures[prompt] = 0
         return "" if n % 17 == 0 else f" {ALLOWED_TAGS[n % 10]}\n"
@@ -201,7 +202,7 @@ NORMAL_TAG = f"""normal AS (
        OR contains(lower(tag), lower({TRIM.format('prediction_raw')})))),
     'Credit reporting') AS tag FROM answers)"""
 EXTERNAL = f"""{CLAIMS}, {REQUESTS}, {ANSWERED}, {ALLOWED}, {PARSED}, {NORMAL_TAG},
-result AS (SELECT request_id, p.claim_id, {STATUS.format("'tagged'")} AS status,
+result AS (SELECT request_id, p.claim_id, {STATUS.replace("claim_id", "p.claim_id").format("'tagged'")} AS status,
        CASE WHEN id IS NOT NULL THEN coalesce({TRIM.format("prediction_raw")}, '') END AS prediction_raw, n.tag
 FROM parsed p LEFT JOIN claims ON id = p.claim_id LEFT JOIN normal n ON n.claim_id = id)"""
 REQUEST_STATUS = "CASE WHEN {0} IS NULL OR length({0}) < 3 THEN 'too_short' WHEN {1} = '' THEN 'empty' ELSE '{2}' END"
@@ -225,9 +226,6 @@ all_tagged AS (SELECT claim_id, CASE WHEN length(text) < 3 THEN 'too_short' ELSE
 
 
 def all_texts_sql() -> str:
-    from claimsift.fixed_values import MASKS_TRAINING
-    from claimsift.plans.tables import STOPS, words_sql
-
     return f"{bayes_sql()},{ALL_TEXTS.replace('STOPWORDS', words_sql([*STOPS, *MASKS_TRAINING]))}"
 
 

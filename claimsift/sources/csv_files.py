@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from claimsift.fixed_values import NULL_WORDS
 from claimsift.operators.numbering import ROW_BITS
+from claimsift.session import materialise
 
 # Header of the source file -> column of the library.
 SOURCE_COLUMNS = {
@@ -34,8 +35,8 @@ def read_claims_csv(
 ) -> DataFrame:
     """The wanted columns as text, null words as null, rows numbered from 1 in file order.
 
-    Column names come from the header, all columns are text: nothing is inferred.  Numbering counts
-    rows per input partition and adds offsets, so no row moves.
+    Column names come from the header, all columns are text: nothing is inferred.  The file is parsed
+    once and landed as Parquet; numbering counts rows per input file and adds offsets, so no row moves.
     """
     table = spark.read.options(**READ_OPTIONS).csv(path)
     picked = table.select(
@@ -45,14 +46,13 @@ def read_claims_csv(
     if row_id is None:
         return picked.drop("_file", "_place")
     part = F.shiftright("_place", ROW_BITS)
-    sizes = picked.groupBy("_file", part.alias("_part")).agg(
-        F.count(F.lit(1)).alias("_size"), F.min("_place").alias("_first")
-    )
+    landed = materialise(picked.withColumn("_part", part), "landed-csv")
+    sizes = landed.groupBy("_file", "_part").agg(F.count(F.lit(1)).alias("_size"), F.min("_place").alias("_first"))
     before = W.orderBy("_file", "_part").rowsBetween(W.unboundedPreceding, -1)  # one row per file
-    offsets = sizes.select("_file", "_part", "_first", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    numbered = picked.withColumn("_part", part).join(offsets, ["_file", "_part"])
+    offset = F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
+    offsets = materialise(sizes.select("_file", "_part", "_first", offset), "csv-offsets")
     number = (F.col("_offset") + F.col("_place") - F.col("_first") + 1).alias(row_id)
-    return numbered.select(number, *columns.values())
+    return landed.join(offsets, ["_file", "_part"]).select(number, *columns.values())
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

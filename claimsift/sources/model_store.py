@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from claimsift.fixed_values import VOCABULARY_FULL, VOCABULARY_SAMPLE
 from claimsift.operators.features import encode_labels, fit_label_encoder, weight_arrays, write_features
-from claimsift.operators.models import LinearTextModel, Vectoriser, fit_vectoriser, train_logistic
+from claimsift.operators.models import LinearTextModel, Vectoriser, fit_vectoriser, right_size, train_logistic
 
 META = (
     "name string, labels array<string>, intercepts array<double>, link string, stop_words array<string>, "
@@ -49,7 +49,7 @@ def train_exported_model(train: DataFrame, size: int, stop_words: Sequence[str])
     vectoriser, counted = fit_vectoriser(rows, size, stop_words)
     encoder = fit_label_encoder(rows)
     vectors, _ = write_features(weight_arrays(counted, vectoriser.idf), len(vectoriser.vocabulary))
-    encoded = encode_labels(vectors, encoder).persist()
+    encoded = right_size(encode_labels(vectors, encoder), counted.count()).persist()
     try:
         return train_logistic(encoded, vectoriser, encoder.labels)
     finally:
