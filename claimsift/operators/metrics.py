@@ -91,9 +91,11 @@ def exact_quantile(df: DataFrame, value: str, q: float, accuracy: int = 10_000)
     """One-row table ``quantile``: linear interpolation between order statistics, exact at any size.
 
     A mergeable sketch brackets the wanted ranks; only values inside the bracket, counted per distinct
-    value, are put in order.
+    value, are put in order.  Up to ``accuracy`` rows the bracket is everything: the sketch's slack would
+    be less than one rank there.
     """
-    slack = 2.0 / accuracy
+    slack = 4.0 / accuracy
+    few = F.col("n") <= accuracy
     edges = df.agg(
         F.count(value).alias("n"),
         F.percentile_approx(value, F.array(F.lit(max(q - slack, 0.0)), F.lit(min(q + slack, 1.0))), accuracy).alias("e"),
@@ -102,8 +104,8 @@ def exact_quantile(df: DataFrame, value: str, q: float, accuracy: int = 10_000)
         F.struct(
             "n",
             (F.lit(q) * (F.col("n") - 1)).alias("rank"),
-            F.when(F.lit(q <= slack), F.col("lo")).otherwise(F.col("e")[0]).alias("lo"),
-            F.when(F.lit(q >= 1 - slack), F.col("hi")).otherwise(F.col("e")[1]).alias("hi"),
+            F.when(few | F.lit(q <= slack), F.col("lo")).otherwise(F.col("e")[0]).alias("lo"),
+            F.when(few | F.lit(q >= 1 - slack), F.col("hi")).otherwise(F.col("e")[1]).alias("hi"),
         ).alias("s")
     ).scalar()
     v = F.col("v")

@@ -37,6 +37,7 @@ def read_claims_csv(
 
     Column names come from the header, all columns are text: nothing is inferred.  The file is parsed
     once and landed as Parquet; numbering counts rows per input file and adds offsets, so no row moves.
+    A file keeps one kind of line ending throughout.
     """
     table = spark.read.options(**READ_OPTIONS).csv(path)
     picked = table.select(
