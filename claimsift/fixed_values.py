@@ -58,16 +58,12 @@ NULL_WORDS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-# The characters Python regards as whitespace, as a list and as a pattern class.
+# The characters Python regards as whitespace.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0 "
     "           "
     "    　"
 )
-WHITESPACE_CLASS = (
-    r"\t\n\x{0b}\x{0c}\r\x{1c}-\x{1f}\x{20}\x{85}\x{a0}\x{1680}"
-    r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
 
 # The characters a browser-side trim() removes.
 WEB_WHITESPACE = (

@@ -8,13 +8,26 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimsift.fixed_values import TOKEN_PATTERN, WEB_WHITESPACE, WHITESPACE, WHITESPACE_CLASS
+from claimsift.fixed_values import TOKEN_PATTERN, WEB_WHITESPACE, WHITESPACE
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _all_but(characters: str) -> str:
+    """Pattern class of every other character, as plain ranges: several times faster than a negated class."""
+    ranges, start = [], 0
+    for code in [*sorted(map(ord, characters)), 0x110000]:
+        if code > start:
+            ranges.append(f"\\x{{{start:x}}}-\\x{{{code - 1:x}}}")
+        start = code + 1
+    return f"[{''.join(ranges)}]"
+
+
+WORD_PATTERN = f"{_all_but(WHITESPACE)}+"
+
+
 def strip_text(c: Column | str) -> Column:
     """Remove leading and trailing whitespace of any kind; ``trim`` would remove blanks only."""
     return F.btrim(_col(c), F.lit(WHITESPACE))
@@ -27,7 +40,7 @@ def web_trim(c: Column | str) -> Column:
 
 def word_count(c: Column | str) -> Column:
     """Number of whitespace-separated pieces."""
-    return F.regexp_count(_col(c), F.lit(f"[^{WHITESPACE_CLASS}]+"))
+    return F.regexp_count(_col(c), F.lit(WORD_PATTERN))
 
 
 def text_or_empty(c: Column | str) -> Column:

@@ -54,14 +54,12 @@ def text_presence_share(raw: DataFrame) -> DataFrame:
 def unique_keys(usable: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Key of the first row of every (text, tag), without the text.
 
-    Grouping is by digest and the aggregate is one number, so copies collapse before the shuffle
-    however many there are, and no text is shuffled.  ``carry`` columns are taken from that first row.
+    Grouping is by digest and the aggregates are numbers, so copies collapse before the shuffle however
+    many there are, and no text is shuffled.  ``carry`` columns must be determined by the text.
     """
-    first = F.min("claim_id") if not carry else F.min(F.struct("claim_id", *carry))
-    grouped = usable.groupBy(F.sha2("claim", 256).alias("digest"), "tag").agg(first.alias("first"))
-    if not carry:
-        return grouped.select(F.col("first").alias("claim_id"), "tag", "digest")
-    return grouped.select("first.claim_id", "tag", "digest", *[f"first.{c}" for c in carry])
+    return usable.groupBy(F.sha2("claim", 256).alias("digest"), "tag").agg(
+        F.min("claim_id").alias("claim_id"), *[F.min(c).alias(c) for c in carry]
+    )
 
 
 def dedup_exact(usable: DataFrame) -> DataFrame:
@@ -84,6 +82,15 @@ def clean_claims(raw: DataFrame, taxonomy: Mapping[str, str] = TAXONOMY) -> Data
     return harmonise_tag(unique, taxonomy).withColumn("word_count", word_count("claim"))
 
 
+def claim_profile(raw: DataFrame, taxonomy: Mapping[str, str] = TAXONOMY) -> DataFrame:
+    """Unique usable claims with tags and word count but without their text: one pass over the texts.
+
+    All counts and length profiles need no more than this.
+    """
+    counted = usable_text(select_useful(raw)).withColumn("word_count", word_count("claim"))
+    return harmonise_tag(unique_keys(counted, ("word_count",)).drop("digest"), taxonomy)
+
+
 def length_cap(df: DataFrame, cap: int = LENGTH_CAP) -> DataFrame:
     return df.where(F.col("word_count") <= cap)
 

@@ -31,12 +31,12 @@ def _usable(spark, sf):
     return cleaning.usable_text(raw_claims(spark, sf))
 
 
-def _clean(spark, sf):
-    return cleaning.clean_claims(raw_claims(spark, sf), TAXONOMY)
+def _profile(spark, sf):
+    return cleaning.claim_profile(raw_claims(spark, sf), TAXONOMY)
 
 
 def _lengths(spark, sf):
-    return cleaning.length_cap(_clean(spark, sf))
+    return cleaning.length_cap(_profile(spark, sf))
 
 
 def _text(df, *columns):
@@ -92,10 +92,11 @@ QUERIES = {
     "dedup_exact": lambda s, d: _text(cleaning.dedup_exact(_usable(s, d)), "claim_id", "tag"),
     "harmonise_tag": lambda s, d: cleaning.harmonise_tag(raw_claims(s, d), TAXONOMY).select("claim_id", "tag", "tag_clean"),
     "word_count": lambda s, d: _usable(s, d).select("claim_id", word_count("claim").cast("bigint").alias("word_count")),
-    "tag_counts_raw": lambda s, d: cleaning.tag_counts(cleaning.dedup_exact(_usable(s, d)), "tag", keep_null=True),
-    "tag_counts_clean": lambda s, d: cleaning.tag_counts(_clean(s, d), "tag_clean"),
-    "distinct_tags": lambda s, d: cleaning.distinct_tags(_clean(s, d)),
-    "min_support_filter": lambda s, d: cleaning.min_support_filter(_clean(s, d)).select("claim_id", "tag_clean"),
+    "tag_counts_raw": lambda s, d: cleaning.tag_counts(_profile(s, d), "tag", keep_null=True),
+    "tag_counts_clean": lambda s, d: cleaning.tag_counts(_profile(s, d), "tag_clean"),
+    "distinct_tags": lambda s, d: cleaning.distinct_tags(_profile(s, d)),
+    "clean_claims": lambda s, d: _text(cleaning.clean_claims(raw_claims(s, d), TAXONOMY), "claim_id", "tag_clean", "word_count"),
+    "min_support_filter": lambda s, d: cleaning.min_support_filter(_profile(s, d)).select("claim_id", "tag_clean"),
     "length_histogram": lambda s, d: profile.length_histogram(_lengths(s, d)),
     "length_density": lambda s, d: profile.length_density(_lengths(s, d)),
     "length_box_stats": lambda s, d: profile.length_box_stats(_lengths(s, d)),
@@ -129,6 +130,8 @@ _DOC_TOKENS = f"t AS (SELECT doc_id AS claim_id, list_filter({TOKENS.format('tex
 _COLUMNS = ["claim_id", "tag", "claim", "company", "label"]
 
 ORACLES = {
+    "clean_claims": f"""WITH {CLEAN} SELECT claim_id, tag_clean, CAST(word_count AS INT) AS word_count,
+  length(claim) AS n_chars, md5(claim) AS digest FROM clean""",
     "profile_table": f"WITH {RAW} " + " UNION ALL ".join(
         f"SELECT CAST({i} AS INT) AS position, '{c}' AS column_name, count({c}) AS n_non_null, count(*) AS n_rows FROM claims_raw"
         for i, c in enumerate(_COLUMNS)

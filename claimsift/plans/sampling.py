@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from claimsift import flows
 from claimsift.operators import sampling
-from claimsift.plans.tables import corpus_sql, documents, quota_sql, sample_sql, sides_sql, split_table
+from claimsift.plans.exploration import CLEAN
+from claimsift.plans.tables import TAXONOMY, corpus_sql, documents, raw_claims, sample_sql, sides_sql, split_table
 from claimsift.schemas import SEED_RECORDS
 from claimsift.session import new_path
 from claimsift.sources import reports, splits
@@ -67,6 +69,14 @@ def split_csv_round_trip(spark, sf):
     return back.groupBy("tag_clean", F.md5("claim").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def make_splits(spark, sf):
+    """The flow from raw claims to the written split table, with at least 10 rows per class and a sample of 20."""
+    path = new_path(spark, "splits")
+    flows.make_splits(raw_claims(spark, sf), path, TAXONOMY, minimum=10, sample_size=20)
+    sides = [splits.read_split(spark, path, side) for side in ("train", "test")]
+    return sides[0].unionByName(sides[1]).select("claim_id", "tag_clean", "split", "in_sample", F.md5("claim").alias("digest"))
+
+
 def shuffle_rows(spark, sf):
     return sampling.shuffle_rows(_docs(spark, sf)).select("claim_id", "position")
 
@@ -83,6 +93,7 @@ QUERIES = {
     "seed_json_round_trip": seed_json_round_trip,
     "split_round_trip": split_round_trip,
     "split_csv_round_trip": split_csv_round_trip,
+    "make_splits": make_splits,
 }
 
 DOCS = "docs AS (SELECT doc_id AS claim_id, lang AS tag_clean FROM documents)"
@@ -120,6 +131,10 @@ FROM placed JOIN documents ON doc_id = claim_id""",
     "split_round_trip": f"""WITH {CORPUS}
 SELECT side, claim_id, tag_clean, md5(claim) AS digest FROM (
   SELECT split AS side, * FROM sampled UNION ALL SELECT 'sample' AS side, * FROM sampled WHERE in_sample)""",
+    "make_splits": f"""WITH {CLEAN},
+kept AS (SELECT claim_id, tag_clean, claim FROM clean WHERE tag_clean IN (
+  SELECT tag_clean FROM clean GROUP BY tag_clean HAVING count(*) >= 10)),{sides_sql('kept')},{sample_sql('20')}
+SELECT claim_id, tag_clean, split, in_sample, md5(claim) AS digest FROM sampled""",
     "split_csv_round_trip": f"""WITH {CORPUS}
 SELECT tag_clean, md5(CASE WHEN claim IN {NULL_LIST} THEN NULL ELSE claim END) AS digest, count(*) AS n
 FROM sampled WHERE split = 'test' GROUP BY 1, 2""",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimsift.operators.cleaning import unique_keys, usable_text
 from claimsift.operators.sampling import nested_sample, stratified_split
-from claimsift.session import materialise
+from claimsift.session import materialise, spread
 
 # A short literal list, the same in queries and checks; the library takes any list.
 STOPS = [
@@ -91,13 +91,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts.  Fewer files than cores would leave cores idle (one row group is one task): spread them.
-
-    A large table has far more files than the cluster has cores and is read where it lies.
-    """
-    df = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, "doc_id") if len(df.inputFiles()) < cores else df
+    """The texts, which cost CPU per row."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def planted(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -131,7 +126,7 @@ def split_table(spark: SparkSession, sf_dir: str, sample: bool = False) -> DataF
         sides = materialise(sides, "sides")
         size = sides.where("split = 'test'").count() // 2
         sides = nested_sample(sides, size)
-    return materialise(texts.join(sides, "claim_id"), "split")
+    return spread(materialise(texts.join(sides, "claim_id"), "split"), "claim_id")
 
 
 # ---- the same in SQL ---------------------------------------------------------------------------
@@ -173,11 +168,11 @@ sides AS (
         FROM {source}) r JOIN test_quota ON tag_clean = stratum)"""
 
 
-def sample_sql() -> str:
-    """``sampled``: sides with in_sample, half of the test side."""
+def sample_sql(total: str = "n // 2") -> str:
+    """``sampled``: sides with in_sample, by default half of the test side."""
     return f"""
 test_sizes AS (SELECT tag_clean AS stratum, count(*) AS size FROM sides WHERE split = 'test' GROUP BY tag_clean),
-{quota_sql("sample_quota", "test_sizes", "n // 2")},
+{quota_sql("sample_quota", "test_sizes", total)},
 sampled AS (
   SELECT r.* EXCLUDE (rank), split = 'test' AND rank <= quota AS in_sample
   FROM (SELECT *, row_number() OVER (PARTITION BY tag_clean, split ORDER BY md5(concat('sample:', claim_id)), claim_id)
