@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimsift.fixed_values import PROGRESS_EVERY
+from claimsift.session import materialise
 
 
 def confusion_counts(predictions: DataFrame, *by: str) -> DataFrame:
@@ -71,13 +72,17 @@ def weighted_average(report: DataFrame, *by: str) -> DataFrame:
 
 
 def confusion_grid(counts: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """Zero-filled square in long form; ``labels`` defaults to the union of both sides."""
+    """Zero-filled square in long form; ``labels`` defaults to the union of both sides.
+
+    The counts are used twice, so they are written: the rows behind them are read once.
+    """
+    counts = materialise(counts.select("y_true", "y_pred", "n"), "confusion")
     names = label_union(counts) if labels is None else labels
     every = F.sort_array(F.collect_set("label"))  # one entry per class
     cells = names.agg(every.alias("all")).select("all", F.explode("all").alias("y_true")).select(
         "y_true", F.explode("all").alias("y_pred")
     )
-    return cells.join(counts.select("y_true", "y_pred", "n"), ["y_true", "y_pred"], "left").select(
+    return cells.join(counts, ["y_true", "y_pred"], "left").select(
         "y_true", "y_pred", F.coalesce("n", F.lit(0)).alias("n")
     )
 
@@ -155,8 +160,11 @@ def engine_comparison(a: DataFrame, b: DataFrame) -> DataFrame:
     left = a.select("claim_id", "y_true", F.struct(F.lit("a").alias("engine"), "y_pred", "latency_sec").alias("a"))
     right = b.select("claim_id", F.struct(F.lit("b").alias("engine"), "y_pred", "latency_sec").alias("b"))
     both = left.join(right, "claim_id").select("y_true", F.explode(F.array("a", "b")).alias("p")).select("y_true", "p.*")
-    cells = both.groupBy("engine", "y_true", "y_pred").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("latency_sec").alias("seconds")
+    cells = materialise(
+        both.groupBy("engine", "y_true", "y_pred").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("latency_sec").alias("seconds")
+        ),
+        "confusion",
     )
     report = per_class_report(cells, "engine")
     rows = (

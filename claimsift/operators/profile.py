@@ -27,23 +27,21 @@ def length_frequencies(capped: DataFrame) -> DataFrame:
     return capped.groupBy("word_count").agg(F.count(F.lit(1)).alias("freq"))
 
 
-def _grid(freq: DataFrame, extremes: DataFrame, points: int, name: str) -> DataFrame:
-    return extremes.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias(name))
-
-
 def length_histogram(capped: DataFrame, bins: int = LENGTH_BINS) -> DataFrame:
     """Equal bins over [min, max], last bin closed, empty bins present; bin numbers are exact."""
     freq = materialise(length_frequencies(capped), "lengths")
     extremes = freq.agg(F.min("word_count").alias("lo"), F.max("word_count").alias("hi")).where("lo IS NOT NULL")
-    lo, hi = (freq.agg(f("word_count")).scalar() for f in (F.min, F.max))
+    x, lo, hi = F.col("word_count"), F.col("s.lo"), F.col("s.hi")
     number = F.when(hi == lo, F.lit(bins // 2)).otherwise(
-        F.least(F.floor((F.col("word_count") - lo) * F.lit(bins) / F.nullif(hi - lo, F.lit(0))), F.lit(bins - 1))
+        F.least(F.floor((x - lo) * F.lit(bins) / F.nullif(hi - lo, F.lit(0))), F.lit(bins - 1))
     )
-    filled = freq.groupBy(number.cast("int").alias("bin")).agg(F.sum("freq").alias("filled"))
+    placed = freq.withColumn("s", extremes.select(F.struct("lo", "hi")).scalar())
+    filled = placed.groupBy(number.cast("int").alias("bin")).agg(F.sum("freq").alias("filled"))
     start = F.when(F.col("hi") == F.col("lo"), F.col("lo") - 0.5).otherwise(F.col("lo").cast("double"))
     width = F.when(F.col("hi") == F.col("lo"), F.lit(1.0)).otherwise((F.col("hi") - F.col("lo")).cast("double")) / bins
     return (
-        _grid(freq, extremes, bins, "bin").join(F.broadcast(filled), "bin", "left")  # at most `bins` rows
+        extremes.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+        .join(F.broadcast(filled), "bin", "left")  # at most `bins` rows
         .select(
             "bin",
             F.round(start + F.col("bin") * width, 6).alias("bin_start"),
