@@ -3,16 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from claimsift.llm import simhash_trie
+from claimsift.llm import benchmark_suffixes, simhash_trie
 from claimsift.llm.common import documents
 
 
+def op1_benchmark_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = benchmark_suffixes.scan(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "row.doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_trie.near_duplicates(documents(spark, sf_dir))
     return found.select(
         "doc_id", simhash_trie.hexadecimal(found.fingerprint).alias("fingerprint"), "component_id", "n_links")
 
 
-QUERIES = {"op8_simhash_trie": op8_simhash_trie}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_benchmark_suffixes": op1_benchmark_suffixes,
+    "op8_simhash_trie": op8_simhash_trie,
+}
+ORACLES = {
+    "op1_benchmark_suffixes": r"""
+        WITH cut AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents),
+        items AS (
+            SELECT CAST(item_id AS VARCHAR) AS item_id, w, least(13, len(w)) AS size
+            FROM (SELECT item_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)
+            WHERE len(w) > 0),
+        windows AS (
+            SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS s
+            FROM items, unnest(range(1, len(w) - size + 2)) AS t(i)),
+        places AS (
+            SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS s
+            FROM cut, (SELECT DISTINCT size FROM items), unnest(range(1, len(w) - size + 2)) AS t(i)),
+        hits AS (SELECT doc_id, item_id, i, size FROM places JOIN windows USING (size, s)),
+        covered AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + size)) AS t(p) GROUP BY doc_id),
+        named AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+            FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+            CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM cut LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+}
