@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimsift.llm import benchmark_suffixes, simhash_trie
+from claimsift.llm import benchmark_suffixes, simhash_trie, warc_segments
 from claimsift.llm.common import documents
 
 
@@ -16,6 +16,10 @@ def op1_benchmark_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_segments.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_trie.near_duplicates(documents(spark, sf_dir))
     return found.select(
@@ -24,6 +28,7 @@ def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_benchmark_suffixes": op1_benchmark_suffixes,
+    "op7_warc_segments": op7_warc_segments,
     "op8_simhash_trie": op8_simhash_trie,
 }
 ORACLES = {
@@ -55,4 +60,15 @@ ORACLES = {
             CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
             coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM cut LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op7_warc_segments": """
+        WITH p AS (
+            SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        k AS (
+            SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+        w AS (
+            SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM k)
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN keeper END AS refers_to
+        FROM w""",
 }
