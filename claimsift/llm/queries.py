@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimsift.llm import benchmark_suffixes, simhash_trie, warc_segments
+from claimsift.llm import benchmark_suffixes, entropy_mix, simhash_trie, warc_segments
 from claimsift.llm.common import documents
 
 
@@ -16,6 +16,10 @@ def op1_benchmark_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entropy_mix.mix(documents(spark, sf_dir)).drop("rate")
+
+
 def op7_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_segments.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -28,6 +32,7 @@ def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_benchmark_suffixes": op1_benchmark_suffixes,
+    "op4_entropy_mix": op4_entropy_mix,
     "op7_warc_segments": op7_warc_segments,
     "op8_simhash_trie": op8_simhash_trie,
 }
@@ -71,4 +76,34 @@ ORACLES = {
             CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN keeper END AS refers_to
         FROM w""",
+    "op4_entropy_mix": r"""
+        WITH sized AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+            FROM documents),
+        sources AS (
+            SELECT source, source_size, 3 * source_size AS most,
+                [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
+            FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source)),
+        stopped AS (
+            SELECT (total - held) / rest AS level, most / weight AS next, held
+            FROM (SELECT *, sum(source_size) OVER () AS total,
+                coalesce(sum(most) OVER before, 0) AS held,
+                sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS rest
+                FROM sources
+                WINDOW before AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))),
+        targets AS (
+            SELECT source, source_size, CASE WHEN most < weight * level THEN CAST(most AS DOUBLE) ELSE weight * level END AS target
+            FROM sources, (SELECT level FROM stopped WHERE level <= next ORDER BY held LIMIT 1)),
+        rates AS (
+            SELECT *, CAST(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END + 1e-9) AS BIGINT) AS whole
+            FROM targets),
+        running AS (
+            SELECT doc_id, source, size, key, sum(size) OVER (PARTITION BY source ORDER BY key
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS upto
+            FROM sized)
+        SELECT doc_id, size, source_size, target,
+            whole + CASE WHEN upto + size / 2 <= target - whole * source_size THEN 1 ELSE 0 END AS copies,
+            (whole + CASE WHEN upto + size / 2 <= target - whole * source_size THEN 1 ELSE 0 END) * size AS taken
+        FROM running JOIN rates ON running.source IS NOT DISTINCT FROM rates.source""",
 }
