@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimsift.llm import benchmark_suffixes, entropy_mix, latent_neighbours, simhash_trie, warc_segments
+from claimsift.llm import benchmark_suffixes, entropy_mix, latent_neighbours, simhash_trie, toxic_segments, warc_segments
 from claimsift.llm.common import documents
 
 
@@ -30,6 +30,10 @@ def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", simhash_trie.hexadecimal(found.fingerprint).alias("fingerprint"), "component_id", "n_links")
 
 
+def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_segments.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_latent_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latent_neighbours.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op4_entropy_mix": op4_entropy_mix,
     "op7_warc_segments": op7_warc_segments,
     "op8_simhash_trie": op8_simhash_trie,
+    "op9_toxic_segments": op9_toxic_segments,
     "op10_latent_neighbours": op10_latent_neighbours,
 }
 ORACLES = {
