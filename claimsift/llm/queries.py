@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimsift.llm import benchmark_suffixes, entropy_mix, latent_neighbours, simhash_trie, toxic_segments, warc_segments
+from claimsift.llm import benchmark_suffixes, entropy_mix, latent_neighbours, private_spans, simhash_trie, toxic_segments, warc_segments
 from claimsift.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix.mix(documents(spark, sf_dir)).drop("rate")
 
 
+def op5_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_spans.private_data(documents(spark, sf_dir))
+
+
 def op7_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_segments.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -41,6 +45,7 @@ def op10_latent_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_benchmark_suffixes": op1_benchmark_suffixes,
     "op4_entropy_mix": op4_entropy_mix,
+    "op5_private_spans": op5_private_spans,
     "op7_warc_segments": op7_warc_segments,
     "op8_simhash_trie": op8_simhash_trie,
     "op9_toxic_segments": op9_toxic_segments,
