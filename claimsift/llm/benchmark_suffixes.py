@@ -65,8 +65,8 @@ class Windows:
         self.longest = max(self.by_size, default=0)
 
 
-def suffix_array(stream: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of ``stream`` in the order of their next ``depth`` values, by prefix doubling.
+def suffix_ranks(stream: np.ndarray, depth: int) -> np.ndarray:
+    """Rank of every suffix of ``stream`` by its next ``depth`` values, by prefix doubling; equal ones rank equal.
 
     Values are not negative; beyond the end they count as 0.
     """
@@ -77,7 +77,12 @@ def suffix_array(stream: np.ndarray, depth: int) -> np.ndarray:
         ahead[:len(rank) - step] = rank[step:]
         _, rank = np.unique(rank * (int(rank.max()) + 1) + ahead, return_inverse=True)
         known += step
-    return np.argsort(rank, kind="stable")
+    return rank
+
+
+def suffix_array(stream: np.ndarray, depth: int) -> np.ndarray:
+    """Positions of ``stream`` in the order of their next ``depth`` values."""
+    return np.argsort(suffix_ranks(stream, depth), kind="stable")
 
 
 def equal_ranges(stream: np.ndarray, order: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
