@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimsift.llm import benchmark_suffixes, entropy_mix, host_suffixes, latent_neighbours, private_spans, simhash_trie, toxic_segments, warc_segments
+from claimsift.llm import benchmark_suffixes, entropy_mix, hidden_markov, host_suffixes, latent_neighbours, private_spans, simhash_trie, toxic_segments, warc_segments
 from claimsift.llm.common import documents
 
 
@@ -16,6 +16,10 @@ def op1_benchmark_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score(documents(spark, sf_dir))
+
+
 def op3_host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_suffixes.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -48,6 +52,7 @@ def op10_latent_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_benchmark_suffixes": op1_benchmark_suffixes,
+    "op2_hidden_markov": op2_hidden_markov,
     "op3_host_suffixes": op3_host_suffixes,
     "op4_entropy_mix": op4_entropy_mix,
     "op5_private_spans": op5_private_spans,
