@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimsift.llm import benchmark_suffixes, entropy_mix, hidden_markov, host_suffixes, latent_neighbours, private_spans, simhash_trie, toxic_segments, warc_segments
+from claimsift.llm import benchmark_suffixes, entropy_mix, hidden_markov, host_suffixes, latent_neighbours, private_spans, simhash_tables, simhash_trie, toxic_segments, warc_segments
 from claimsift.llm.common import documents
 
 
@@ -32,6 +32,10 @@ def op5_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_spans.private_data(documents(spark, sf_dir))
 
 
+def op6_simhash_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_tables.fingerprint_documents(documents(spark, sf_dir))
+
+
 def op7_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_segments.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op3_host_suffixes": op3_host_suffixes,
     "op4_entropy_mix": op4_entropy_mix,
     "op5_private_spans": op5_private_spans,
+    "op6_simhash_tables": op6_simhash_tables,
     "op7_warc_segments": op7_warc_segments,
     "op8_simhash_trie": op8_simhash_trie,
     "op9_toxic_segments": op9_toxic_segments,
