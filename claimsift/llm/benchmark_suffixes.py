@@ -70,14 +70,14 @@ def suffix_ranks(stream: np.ndarray, depth: int) -> np.ndarray:
 
     Values are not negative; beyond the end they count as 0.
     """
-    rank, known = stream, 1
+    rank, known = np.concatenate([stream, np.zeros(depth, stream.dtype)]), 1
     while known < depth:
         step = min(known, depth - known)
         ahead = np.zeros_like(rank)
         ahead[:len(rank) - step] = rank[step:]
         _, rank = np.unique(rank * (int(rank.max()) + 1) + ahead, return_inverse=True)
         known += step
-    return rank
+    return rank[:len(stream)]
 
 
 def suffix_array(stream: np.ndarray, depth: int) -> np.ndarray:

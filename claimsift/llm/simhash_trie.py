@@ -250,14 +250,14 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         return kept
     headless = found.where("doc_id is null and component_id is null").select("fingerprint").distinct()
     groups = connected_components(links(headless.withColumnRenamed("fingerprint", "value"), radius))
-    marked = nameless.withColumn("_print", _print_column(nameless)).join(
-        headless.withColumnRenamed("fingerprint", "_print"), "_print")
-    marked = marked.join(groups.select(F.col("node").alias("_print"), "component"), "_print", "left")
-    last = marked.withColumn("component", F.coalesce("component", "_print")).dropDuplicates(["component"])
-    return kept.unionByName(last.select(*columns))
+    marked = nameless.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), _print_column().alias("own"))
+    marked = marked.join(headless.withColumnRenamed("fingerprint", "own"), "own")
+    marked = marked.join(groups.select(F.col("node").alias("own"), "component"), "own", "left")
+    last = marked.withColumn("component", F.coalesce("component", "own")).dropDuplicates(["component"])
+    return kept.unionByName(last.select("row.*"))
 
 
-def _print_column(docs: DataFrame) -> Column:
+def _print_column() -> Column:
     @F.pandas_udf("long")
     def of(data: pd.Series) -> pd.Series:
         return pd.Series(np.fromiter(map(fingerprint, data), np.int64, len(data)))
