@@ -14,7 +14,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -186,31 +185,34 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = LA
     n, ones = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     base = (ones + 1) / (n + 2)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = (Counter(), Counter())
-            for one, data in zip(batch["label"], batch["data"], strict=True):
-                seen[int(one)].update({u for w in set(data.translate(LOWER).split()) for u in units(w)})
+            for one, data in zip(batch.column("label").to_pylist(), batch.column("data"), strict=True):
+                seen[one].update({u for w in set(data.as_py().translate(LOWER).split()) for u in units(w)})
             for one, found in enumerate(seen):
-                yield pd.DataFrame({"unit": list(found), "label": one, "n": list(found.values())})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(found), pa.string()), pa.array([one] * len(found), pa.int32()), pa.array(list(found.values()), pa.int64())],
+                    names=["unit", "label", "n"])
 
     of_label = lambda k: F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0))
-    seen = sample.mapInPandas(count, "unit string, label int, n long").groupBy("unit").agg(
+    seen = sample.mapInArrow(count, "unit string, label int, n long").groupBy("unit").agg(
         of_label(1).alias("ones"), of_label(0).alias("zeros")).where(F.col("ones") + F.col("zeros") >= LEAST_TEXTS)
     odds = posterior({u: (a, b) for u, a, b in seen.collect()}, base)  # units of a bounded number of texts
     shared = docs.sparkSession.sparkContext.broadcast(odds)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evidence = Evidence(shared.value, DRIFT)
+        columns = pa.schema([("label", pa.int32()), ("n", pa.int64()), ("scores", pa.list_(pa.float64())), ("bins", pa.list_(pa.float64())), ("weights", pa.list_(pa.int64()))])
         for batch in batches:
             out = []
-            for one, data in zip(batch["label"], batch["data"], strict=True):
-                scores = token_scores(data.translate(LOWER).split(), evidence)
+            for one, data in zip(batch.column("label").to_pylist(), batch.column("data"), strict=True):
+                scores = token_scores(data.as_py().translate(LOWER).split(), evidence)
                 values, weights = np.unique(np.round(scores, 1), return_counts=True)
-                out.append((one, len(scores), [s for _, _, s in segments(scores)], values, weights))
-            yield pd.DataFrame(out, columns=["label", "n", "scores", "bins", "weights"])
+                out.append({"label": one, "n": len(scores), "scores": [s for _, _, s in segments(scores)], "bins": values.tolist(), "weights": weights.tolist()})
+            yield pa.RecordBatch.from_pylist(out, schema=columns)
 
-    texts = sample.mapInPandas(scan, "label int, n long, scores array<double>, bins array<double>, weights array<long>").collect()
+    texts = sample.mapInArrow(scan, "label int, n long, scores array<double>, bins array<double>, weights array<long>").collect()
     clean: Counter = Counter()
     for row in texts:
         if not row["label"]:
