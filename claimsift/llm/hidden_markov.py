@@ -11,7 +11,6 @@ join of (text, word) with the counts, whose keys are rare by construction.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimsift.llm.common import LOWER, remainder, text_bytes
+from claimsift.operators.features import top_terms
 from claimsift.session import materialise
 
 STATES = 8
@@ -30,7 +30,8 @@ FREQUENT = 32768  # words that are classes of their own
 ROUNDS = 3  # Baum-Welch rounds over all training text
 SAMPLE_TEXTS, SAMPLE_TOKENS, SAMPLE_ROUNDS = 1024, 1 << 20, 20  # the start, on a bounded sample
 PIECE = 256  # training text is cut into pieces of so many tokens; scoring never cuts
-PIECES = 1024  # pieces handled at a time
+PIECES = 2048  # pieces handled at a time
+MEMORY = 100_000  # rare words whose shape a task remembers
 FOLDS = 10
 ADD = 0.1  # added to counts of words
 PRIOR = 200.0  # tokens that the overall distribution of classes adds to each state
@@ -49,6 +50,16 @@ def shape(word: bytes) -> int:
     return (lead * ENDS + end) * SIZES + (0 if len(word) <= 6 else 1 if len(word) <= 12 else 2)
 
 
+class Shapes(dict):
+    """Shapes of words, remembered up to MEMORY of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMORY:
+            self.clear()
+        self[word] = found = shape(word)
+        return found
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word binary, n) over ``docs(data)``; every task adds up before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,20 +95,20 @@ class Classes:
         self.shape_divisors = [n + ADD * (v + 1) for n, v in of_shapes]
         self.base = np.log10((self.counts + ADD) / self.divisor)  # of frequent words and the end
 
-    def encode(self, data: bytes) -> tuple[np.ndarray, Counter]:
+    def encode(self, data: bytes, shapes: Shapes) -> tuple[np.ndarray, Counter]:
         """Classes of the tokens of a text, the end last, and its rare words."""
         words = data.translate(LOWER).split()
         get = self.number.get
         ids = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
-        rare = [words[k] for k in np.flatnonzero(ids < 0)]
-        seen = Counter(rare)
-        shapes = {w: self.first_shape + shape(w) for w in seen}
-        ids[ids < 0] = [shapes[w] for w in rare]
-        return np.append(ids, np.int32(self.end)), seen
+        places = np.flatnonzero(ids < 0)
+        rare = [words[k] for k in places]
+        ids[places] = np.fromiter(map(shapes.__getitem__, rare), np.int32, len(rare)) + self.first_shape
+        return np.append(ids, np.int32(self.end)), Counter(rare)
 
 
 def learn_classes(counts: DataFrame, texts: int, frequent: int = FREQUENT) -> Classes:
-    head = [(bytes(w), n) for w, n in counts.orderBy(F.desc("n"), "word").limit(frequent).collect()]
+    top = top_terms(counts.select(F.col("word").alias("term"), "n"), frequent)  # a cut by count, no top-k in one task
+    head = sorted(((bytes(w), n) for w, n in top.select("term", "n").collect()), key=lambda r: (-r[1], r[0]))
     known = counts.sparkSession.sparkContext.broadcast({w for w, _ in head})  # at most FREQUENT words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +175,7 @@ class Model:
             scales.append(now.sum(axis=1, keepdims=True))
             alpha.append(now / scales[-1])
         beta = np.ones((active[-1], k))
-        gamma, seen = [None] * len(active), np.zeros((k, k))
+        seen = np.zeros((k, k))
         for t in range(len(active) - 1, -1, -1):
             m = active[t]
             if t + 1 < len(active):
@@ -172,11 +183,11 @@ class Model:
                 seen += alpha[t][:len(ahead)].T @ ahead
                 beta = np.ones((m, k))
                 beta[:len(ahead)] = ahead @ self.steps.T
-            gamma[t] = alpha[t] * beta
+            alpha[t] *= beta  # from here on the chance of each state, given the whole piece
         steps += seen * self.steps
-        start += gamma[0][first].sum(axis=0)
+        start += alpha[0][first].sum(axis=0)
         flat = np.concatenate([table[t, :m] for t, m in enumerate(active)])
-        weight = np.concatenate(gamma)
+        weight = np.concatenate(alpha)
         for s in range(k):
             emit[:, s] += np.bincount(flat, weights=weight[:, s], minlength=len(emit))
 
@@ -249,25 +260,27 @@ def round_of_all(encoded: DataFrame, model: Model, overall: np.ndarray) -> Model
 def encode(docs: DataFrame, classes: Classes) -> DataFrame:
     """``docs(doc, held_out, data)`` with classes of tokens, rare words, and the base score of all but these."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("shape", pa.int32()), ("n", pa.int32())]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = shared.value
+        book, shapes = shared.value, Shapes()
+        listed = lambda sizes, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                ids, rare, base, known = [], [], [], []
+                ids, base, known, words, times, rare = [], [], [], [], [], []
                 for data in part.column("data"):
-                    tokens, seen = book.encode(data.as_py())
+                    tokens, seen = book.encode(data.as_py(), shapes)
                     common = tokens[(tokens < book.first_shape) | (tokens == book.end)]
                     ids.append(tokens)
-                    rare.append([{"word": w, "shape": shape(w), "n": n} for w, n in seen.items()])
-                    base.append(math.fsum(book.base[common].tolist()))
-                    known.append(int((book.counts[common] > 0).sum()))
-                offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
+                    base.append(float(book.base[common].sum()))
+                    known.append(len(common) - (book.counts[book.end] == 0))
+                    words += seen
+                    times += seen.values()
+                    rare.append(len(seen))
+                kinds = np.fromiter(map(shapes.__getitem__, words), np.int32, len(words))
+                table = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(kinds), pa.array(times, pa.int32())], names=["word", "shape", "n"])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), part.column("held_out"), lists, pa.array(rare, rare_type), pa.array(base, pa.float64()), pa.array(known, pa.int64())],
+                    [part.column("doc"), part.column("held_out"), listed([len(i) for i in ids], pa.array(np.concatenate(ids), pa.int32())), listed(rare, table),
+                     pa.array(base, pa.float64()), pa.array(known, pa.int64())],
                     names=["doc", "held_out", "classes", "rare", "base", "known"])
 
     found = T.StructType.fromDDL("held_out boolean, classes array<int>, rare array<struct<word:binary,shape:int,n:int>>, base double, known bigint")
@@ -290,7 +303,8 @@ def score(docs: DataFrame, states: int = STATES, frequent: int = FREQUENT, round
 
     overall = (classes.counts + ADD) / (classes.counts + ADD).sum()
     training = encoded.where("not held_out")
-    sample = training.orderBy(F.xxhash64(F.col("doc.doc_id").cast("string")), "key").select("classes").limit(SAMPLE_TEXTS)
+    part = F.pmod(F.xxhash64(F.col("doc.doc_id").cast("string"), F.lit(SEED)), F.lit(1_000_000))
+    sample = training.where(part < min(1_000_000, SAMPLE_TEXTS * 1_000_000 // max(1, texts))).select("classes")
     chosen, held = [], 0
     for row in sample.toLocalIterator():
         if held + len(row[0]) <= SAMPLE_TOKENS:
