@@ -241,11 +241,12 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     found = materialise(near_duplicates(docs, radius), "near-duplicates")
     losers = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
     repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    named = docs.where("doc_id is not null").join(losers, "doc_id", "left_anti")
-    alone = named.join(repeated, "doc_id", "left_anti")
-    copies = named.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.where("doc_id is not null").join(losers, "doc_id", "left_anti").select(*columns)
+    repeated = materialise(repeated, "repeated-ids")
+    if not repeated.isEmpty():  # else the texts need not pass a second time
+        copies = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(repeated, "doc_id", "left_anti").select(*columns).unionByName(copies.select(*columns))
     nameless = docs.where("doc_id is null")
-    kept = alone.select(*columns).unionByName(copies.select(*columns))
     if nameless.isEmpty():
         return kept
     headless = found.where("doc_id is null and component_id is null").select("fingerprint").distinct()
