@@ -1,4 +1,4 @@
-"""The two batch flows end to end: raw claims to split table, split table to saved model and report."""
+"""The batch flows end to end: raw claims to split table, split table to saved model and report, or to the best of three models."""
 
 from __future__ import annotations
 
@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from claimsift.fixed_values import MIN_SUPPORT, SAMPLE_SIZE, TAXONOMY, TEST_SHARE, VOCABULARY_FULL, VOCABULARY_SAMPLE
 from claimsift.operators.cleaning import harmonise_tag, min_support_filter, select_useful, unique_keys, usable_text
-from claimsift.operators.models import LinearTextModel, batch_latency, evaluation_report, predict
+from claimsift.operators.metrics import pick_best
+from claimsift.operators.models import (
+    LinearTextModel, batch_latency, compare_models, evaluation_report, predict, prepare_training, train_all,
+)
 from claimsift.operators.sampling import nested_sample, stratified_split
-from claimsift.session import materialise, spread
+from claimsift.session import materialise
 from claimsift.sources.model_store import load_or_train_model, refuse_training_metrics, save_model
-from claimsift.sources.reports import write_metrics_json
+from claimsift.sources.reports import write_comparison, write_metrics_json
 from claimsift.sources.splits import read_split, write_split
 
 
@@ -42,8 +45,8 @@ def export_model(
 
     A model that had to be trained on the sample is written without a report.
     """
-    sample = spread(read_split(spark, split_path, "sample"), "claim_id")
-    train = spread(read_split(spark, split_path, "train"), "claim_id") if has_train else None
+    sample = read_split(spark, split_path, "sample")
+    train = read_split(spark, split_path, "train") if has_train else None
     model, trained_on = load_or_train_model(
         spark, saved or f"{out}/model", train, sample, stop_words, full_size, sample_size
     )
@@ -59,3 +62,18 @@ def export_model(
     stamp = time.strftime("%Y-%m-%d %H:%M:%SZ", time.gmtime())
     write_metrics_json(evaluation_report(scored, model, timing["ms_per_claim"], stamp), f"{out}/metrics")
     return model, trained_on
+
+
+def best_model_export(
+    spark: SparkSession, split_path: str, out: str, stop_words: Sequence[str], size: int = VOCABULARY_FULL,
+) -> tuple[DataFrame, LinearTextModel]:
+    """Train the three classifiers, compare them, save the best one and write the comparison to ``out``."""
+    split = read_split(spark, split_path, "train").unionByName(read_split(spark, split_path, "test"))
+    table = prepare_training(split, size, stop_words)
+    models = train_all(table)
+    comparison = materialise(compare_models(table, models), "comparison")
+    name = pick_best(comparison).first()["model"]
+    best = next(m for m in models if m.name == name)
+    save_model(best, f"{out}/model")
+    write_comparison(comparison, f"{out}/comparison")
+    return comparison, best

@@ -63,8 +63,16 @@ def unique_keys(usable: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 
 def dedup_exact(usable: DataFrame) -> DataFrame:
-    """One row per (text, tag), the one that came first; a missing tag is a group of its own."""
-    return usable.join(unique_keys(usable).select("claim_id"), "claim_id", "left_semi")
+    """One row per (text, tag), the one that came first; a missing tag is a group of its own.
+
+    Texts stay where they are: only the ids that are not first, the smaller part, are joined with them.
+    """
+    digest = F.sha2("claim", 256).alias("digest")
+    keys = materialise(usable.select("claim_id", digest, "tag"), "text-keys")
+    copied = keys.groupBy("digest", "tag").agg(F.min("claim_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copied = copied.select("digest", F.col("tag").alias("_tag"), "first")
+    later = keys.join(copied, "digest").where(F.col("tag").eqNullSafe(F.col("_tag")) & (F.col("claim_id") > F.col("first")))
+    return usable.join(materialise(later.select("claim_id"), "later-copies"), "claim_id", "left_anti")
 
 
 def harmonise_tag(df: DataFrame, taxonomy: Mapping[str, str] = TAXONOMY) -> DataFrame:

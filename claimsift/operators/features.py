@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import SparkContext
 from pyspark.ml.feature import CountVectorizerModel, StringIndexer, StringIndexerModel
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
@@ -20,8 +21,6 @@ from claimsift.functions.text import explode_terms, with_ngrams, with_tokens
 from claimsift.operators.numbering import number_rows
 from claimsift.session import materialise, new_path
 
-DIRECT_TOP = 1000
-
 
 def with_terms(
     df: DataFrame, text: str = "claim", stop_words: Sequence[str] = (), low: int = 1, high: int = 2
@@ -42,14 +41,12 @@ def document_frequency(df: DataFrame, terms: str = "terms") -> DataFrame:
 
 
 def top_terms(totals: DataFrame, size: int) -> DataFrame:
-    """The ``size`` most frequent terms, ties in term order.
+    """The ``size`` most frequent terms, ties in term order; the rows come in no order.
 
-    A short list is a plain top-k.  For a long one, a top-k would send ``size`` rows of every partition
-    to one task; here the count at the cut is read off the (small) table of counts, terms above it are
-    taken by a filter, and only terms exactly at it are put in order, in parallel.
+    A top-k would send ``size`` rows of every partition to one task; here the count at the cut is read
+    off the (small) table of counts, terms above it are taken by a filter, and only terms exactly at it
+    are put in order, in parallel.
     """
-    if size <= DIRECT_TOP:
-        return totals.orderBy(F.desc("n"), F.asc("term")).limit(size)
     totals = materialise(totals, "term-totals")
     per_count = totals.groupBy("n").agg(F.count(F.lit(1)).alias("terms"))
     upto = F.sum("terms").over(W.orderBy(F.desc("n")))  # one row per distinct count
@@ -72,8 +69,11 @@ def fit_vocabulary(train: DataFrame, size: int, terms: str = "terms") -> list[st
 
 
 def term_counter(vocabulary: Sequence[str], terms: str = "terms") -> CountVectorizerModel:
-    """The dictionary of the vocabulary, to be made once per vocabulary: it is sent to the JVM term by term."""
-    return CountVectorizerModel.from_vocabulary(list(vocabulary), inputCol=terms, outputCol="_vector")
+    """The dictionary of the vocabulary, sent to the JVM in one piece: terms hold no line ends."""
+    jvm = SparkContext._active_spark_context._jvm
+    words = jvm.java.util.regex.Pattern.compile("\n").split("\n".join(vocabulary))
+    model = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", words)
+    return model.setInputCol(terms).setOutputCol("_vector")
 
 
 def count_arrays(df: DataFrame, model: CountVectorizerModel) -> DataFrame:

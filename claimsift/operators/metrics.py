@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from claimsift.fixed_values import PROGRESS_EVERY
 from claimsift.session import materialise
 
+BUCKETS = 1024  # ranges that a quantile's values are counted in at a time
+
 
 def confusion_counts(predictions: DataFrame, *by: str) -> DataFrame:
     """Rows per (true, predicted), optionally per engine or model."""
@@ -92,41 +96,39 @@ def wide_grid(grid: DataFrame, labels: list[str]) -> DataFrame:
     return grid.groupBy("y_true").pivot("y_pred", labels).agg(F.sum("n"))
 
 
-def exact_quantile(df: DataFrame, value: str, q: float, accuracy: int = 10_000) -> DataFrame:
-    """One-row table ``quantile``: linear interpolation between order statistics, exact at any size.
+def order_statistic(df: DataFrame, value: str, rank: int, low: float, high: float) -> float:
+    """The value of a rank (from 0) among the non-null values, all within ``low`` and ``high``.
 
-    A mergeable sketch brackets the wanted ranks; only values inside the bracket, counted per distinct
-    value, are put in order.  Up to ``accuracy`` rows the bracket is everything: the sketch's slack would
-    be less than one rank there.
+    Values are counted in BUCKETS ranges between the ends; the range that holds the rank is cut again
+    until all its values are equal.  Each round is one pass that returns BUCKETS rows at most.
     """
-    slack = 4.0 / accuracy
-    few = F.col("n") <= accuracy
-    edges = df.agg(
-        F.count(value).alias("n"),
-        F.percentile_approx(value, F.array(F.lit(max(q - slack, 0.0)), F.lit(min(q + slack, 1.0))), accuracy).alias("e"),
-        F.min(value).alias("lo"), F.max(value).alias("hi"),
-    ).select(
-        F.struct(
-            "n",
-            (F.lit(q) * (F.col("n") - 1)).alias("rank"),
-            F.when(few | F.lit(q <= slack), F.col("lo")).otherwise(F.col("e")[0]).alias("lo"),
-            F.when(few | F.lit(q >= 1 - slack), F.col("hi")).otherwise(F.col("e")[1]).alias("hi"),
-        ).alias("s")
-    ).scalar()
-    v = F.col("v")
-    marked = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v")).withColumn("s", edges)
-    clipped = marked.where(v <= F.col("s.hi")).select(
-        F.when(v >= F.col("s.lo"), v).alias("v"), "s"
-    )
-    cells = clipped.groupBy("v", "s").agg(F.count(F.lit(1)).alias("freq"))
-    upto = F.sum("freq").over(W.orderBy(F.asc_nulls_first("v")))  # distinct values inside the bracket
-    placed = cells.withColumn("upto", upto).where("v IS NOT NULL")
-    rank = F.col("s.rank")
-    low = F.min(F.when(F.col("upto") > F.floor(rank), v))
-    high = F.min(F.when(F.col("upto") > F.ceil(rank), v))
-    return placed.agg(low.alias("a"), high.alias("b"), F.first("s.rank").alias("rank")).select(
-        (F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))).alias("quantile")
-    )
+    v = F.col(value).cast("double")
+    while low < high:
+        share = (v / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)  # halves, so that the width stays finite
+        bucket = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))
+        cells = df.where((v >= low) & (v <= high)).groupBy(bucket.alias("b")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).collect()
+        for cell in sorted(cells):
+            if rank < cell["n"]:
+                low, high = cell["low"], cell["high"]
+                break
+            rank -= cell["n"]
+        else:
+            raise RuntimeError("the table changed between two passes")
+    return low
+
+
+def exact_quantile(df: DataFrame, value: str, q: float) -> DataFrame:
+    """One-row table ``quantile``: linear interpolation between order statistics, exact at any size; null without values."""
+    rows = df.where(F.col(value).isNotNull())
+    n, low, high = rows.agg(F.count(F.lit(1)), F.min(value).cast("double"), F.max(value).cast("double")).first()
+    found = None
+    if n:
+        rank = q * (n - 1)
+        a = order_statistic(rows, value, math.floor(rank), low, high)
+        b = order_statistic(rows, value, math.ceil(rank), low, high) if rank > math.floor(rank) else a
+        found = a + (b - a) * (rank - math.floor(rank))
+    return df.sparkSession.range(1).select(F.lit(found).cast("double").alias("quantile"))
 
 
 def latency_stats(predictions: DataFrame, latency: str = "latency_sec") -> DataFrame:

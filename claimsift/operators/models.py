@@ -2,8 +2,8 @@
 
 Multinomial logistic regression, multinomial naive Bayes and one-vs-rest logistic regression all score
 a claim by ``intercept[k] + sum(weight x coefficient[k])``.  A fitted model is therefore one table with
-a row per vocabulary term and an array of K coefficients, and scoring is one join and one aggregation:
-each claim leaves its input partition as a single row of K sums.
+a row per vocabulary term and an array of K coefficients.  Scoring brings that table, bounded by the
+vocabulary, to the row as one array: no join, no shuffle, and a claim that occurs twice is scored twice.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from functools import cached_property
 import numpy as np
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimsift.fixed_values import LINEAR_ALPHA, LOGISTIC_C, MASKS_TRAINING, MAX_ITERATIONS, NB_ALPHA
@@ -28,7 +28,7 @@ from claimsift.operators.metrics import accuracy, confusion_counts, per_class_re
 from claimsift.session import materialise
 
 BROADCAST_BYTES = 256 * 1024 * 1024
-ROWS_PER_TASK = 20_000
+MOST_CLASSES = 10_000
 
 
 @dataclass
@@ -80,8 +80,11 @@ def fit_vectoriser(
 
 
 def class_names(df: DataFrame, label: str = "tag_clean") -> list[str]:
-    """Distinct labels in alphabetical order: one entry per class."""
-    return sorted(r[0] for r in df.select(label).distinct().collect())
+    """Distinct labels in alphabetical order: one entry per class, MOST_CLASSES at most."""
+    names = [r[0] for r in df.select(label).distinct().limit(MOST_CLASSES + 1).collect()]
+    if len(names) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
+    return sorted(names)
 
 
 def train_naive_bayes(
@@ -110,12 +113,6 @@ def train_naive_bayes(
     )
 
 
-def right_size(vectors: DataFrame, rows: int) -> DataFrame:
-    """Merge small partitions (never split): a solver step costs more per task than per row."""
-    wanted = max(1, -(-rows // ROWS_PER_TASK))
-    return vectors.coalesce(wanted)
-
-
 def _coefficient_table(spark: SparkSession, matrix: np.ndarray) -> DataFrame:
     """One row per vocabulary term; the matrix comes from the solver, which holds it on the driver anyway."""
     rows = list(enumerate(matrix.T.tolist()))
@@ -156,22 +153,32 @@ def train_linear_ovr(
     )
 
 
+def coefficient_array(model: LinearTextModel) -> Column:
+    """All coefficients as one value: entry ``idx * K + k``.  Every term of the vocabulary must have its row."""
+    k, terms = len(model.labels), len(model.vectoriser.vocabulary)
+    if terms * k * 8 > BROADCAST_BYTES:
+        raise ValueError(f"{terms} terms and {k} classes are more than a row can be scored with ({BROADCAST_BYTES} bytes)")
+    ordered = F.array_sort(F.collect_list(F.struct("idx", "coef")))
+    whole = (F.count(F.lit(1)) == terms) & (F.coalesce(F.max("idx"), F.lit(-1)) == terms - 1)
+    flat = F.when(whole, F.flatten(F.transform(ordered, lambda s: s["coef"])))
+    return model.coefficients.agg(F.coalesce(flat, F.raise_error(F.lit("coefficients and vocabulary differ")).cast("array<double>"))).scalar()
+
+
 def score(features: DataFrame, model: LinearTextModel, *keep: str) -> DataFrame:
     """Add ``scores``, ``probabilities``, ``class_index`` and ``predicted`` to the ``keep`` columns.
 
-    ``keep`` starts with the row key.  A claim without any known term keeps its row: the intercepts
-    decide.  Equal scores (to nine decimals) go to the first class.
+    Every row is scored by itself.  A claim without any known term gets the intercepts.  Equal scores
+    (to nine decimals) go to the first class.
     """
     k = len(model.labels)
-    table = model.coefficients
-    if len(model.vectoriser.vocabulary) * k * 8 <= BROADCAST_BYTES:
-        table = F.broadcast(table)
-    pairs = features.select(*keep, F.explode_outer(F.arrays_zip("indices", "weights")).alias("e")).select(
-        *keep, F.col("e.indices").alias("idx"), F.col("e.weights").alias("w")
+    intercepts = F.array(*[F.lit(float(b)) for b in model.intercepts])
+    pairs = F.arrays_zip(F.coalesce("indices", F.array().cast("array<int>")), F.coalesce("weights", F.array().cast("array<double>")))
+    weighed = F.transform(intercepts, lambda b, c: F.aggregate(
+        "_pairs", b, lambda total, e: total + e["weights"] * F.get(F.col("_coef"), e["indices"] * k + c)))
+    summed = (
+        features.select(*keep, pairs.cast("array<struct<indices:int,weights:double>>").alias("_pairs"))
+        .withColumn("_coef", coefficient_array(model)).select(*keep, weighed.alias("scores"))
     )
-    sums = [F.coalesce(F.sum(F.col("w") * F.col("coef")[i]), F.lit(0.0)) for i in range(k)]
-    scores = F.array(*[s + F.lit(b) for s, b in zip(sums, model.intercepts, strict=True)])
-    summed = pairs.join(table, "idx", "left").groupBy(*keep).agg(scores.alias("scores"))
     ranked = F.transform("scores", lambda s, i: F.struct(F.round(s, 9).alias("s"), (-i).alias("minus_index")))
     if model.link == "softmax":
         shifted = F.transform("scores", lambda s: F.exp(s - F.array_max("scores")))
@@ -193,6 +200,34 @@ def predict(df: DataFrame, model: LinearTextModel, *keep: str, text: str = "clai
     return score(model.vectoriser.transform(df.select(*keep, text), text), model, *keep)
 
 
+def gradient_norms(train: DataFrame, model: LinearTextModel, penalty: float, label: str = "tag_clean") -> DataFrame:
+    """(label, norm, start_norm): the gradient of the fitted loss per class, at the model and at zero coefficients.
+
+    ``train`` has features in arrays.  The mean log loss (softmax, or one sigmoid per class) and half
+    ``penalty`` times the squared coefficients are what the solvers minimise; at the optimum the norm is 0.
+    """
+    k, n = len(model.labels), train.count()
+    scored = score(train, model, "claim_id", label, "indices", "weights")
+    if model.link == "softmax":
+        chance, start = F.col("probabilities"), 1.0 / k
+    else:
+        chance, start = F.transform("scores", lambda s: F.lit(1.0) / (F.lit(1.0) + F.exp(-s))), 0.5
+    hit = [F.when(F.col(label) == name, 1.0).otherwise(0.0) for name in model.labels]
+    rows = scored.select(
+        F.explode(F.arrays_zip("indices", "weights")).alias("e"),
+        *[(chance[c] - hit[c]).alias(f"r{c}") for c in range(k)], *[(F.lit(start) - hit[c]).alias(f"z{c}") for c in range(k)])
+    w = F.col("e.weights") / F.lit(float(n))
+    sums = rows.groupBy(F.col("e.indices").alias("idx")).agg(
+        *[F.sum(w * F.col(f"{x}{c}")).alias(f"{x}{c}") for x in "rz" for c in range(k)])
+    slopes = sums.join(model.coefficients, "idx", "right").na.fill(0.0, [f"{x}{c}" for x in "rz" for c in range(k)])
+    norms = slopes.agg(*[
+        F.struct(
+            F.lit(model.labels[c]).alias("label"), F.sqrt(F.sum(F.pow(F.col(f"r{c}") + F.lit(penalty) * F.col("coef")[c], F.lit(2.0)))).alias("norm"),
+            F.sqrt(F.sum(F.pow(F.col(f"z{c}"), F.lit(2.0)))).alias("start_norm")).alias(f"n{c}")
+        for c in range(k)])
+    return norms.select(F.explode(F.array(*[f"n{c}" for c in range(k)])).alias("x")).select("x.*")
+
+
 def batch_latency(df: DataFrame, run: Callable[[DataFrame], DataFrame]) -> dict:
     """Time an action that consumes every result of ``run``; milliseconds per row."""
     rows = df.count()
@@ -241,9 +276,7 @@ def prepare_training(
 def train_all(table: TrainingTable) -> list[LinearTextModel]:
     """The three classifiers in their fixed order, each with its training time."""
     train_arrays = table.arrays.where("split = 'train'")
-    train_vectors = right_size(
-        table.vectors.where("split = 'train'").select("features", "label"), train_arrays.count()
-    ).persist()
+    train_vectors = table.vectors.where("split = 'train'").select("features", "label").persist()
     try:
         train_vectors.count()
         models = []

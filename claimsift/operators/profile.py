@@ -122,4 +122,5 @@ def top_bigrams(
     """The most frequent bigrams of a sample of the claims; stop words go before pairs are formed."""
     drawn = sample_n(claims.where(F.col(text).isNotNull()).select(row_id, text), sample, row_id, seed)
     tokens = with_tokens(drawn, text, "tokens", [*stop_words, *masks])
-    return top_terms(term_totals(with_ngrams(tokens, "tokens", "terms", 2, 2)), top)
+    found = top_terms(term_totals(with_ngrams(tokens, "tokens", "terms", 2, 2)), top)
+    return found.orderBy(F.desc("n"), F.asc("term"))  # ``top`` rows

@@ -17,13 +17,22 @@ from claimsift.operators.numbering import number_rows
 from claimsift.session import materialise
 
 BUCKET_DIGITS = 4  # 65,536 hash buckets per stratum
-RANK_LIMIT = 1000  # above this, Spark no longer pushes a rank limit below the shuffle
+MOST_STRATA = 10_000  # strata whose cut-offs are broadcast; more are refused
 
 
 def row_hash(row_id: Column | str, seed: int | str = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string") if isinstance(row_id, str) else row_id))
 
 
+def by_stratum(left: DataFrame, right: DataFrame, stratum: str, how: str = "inner") -> DataFrame:
+    """Join with a table of one row per stratum; null is a stratum like any other."""
+    if right.count() > MOST_STRATA:
+        raise ValueError(f"more than {MOST_STRATA} strata")
+    named = right.withColumnRenamed(stratum, "_stratum_key")
+    on = F.col(stratum).eqNullSafe(F.col("_stratum_key"))
+    return left.join(F.broadcast(named), on, how).drop("_stratum_key")
+
+
 def proportional_quotas(sizes: DataFrame, stratum: str, total: Column) -> DataFrame:
     """Share of ``total`` per stratum by largest remainder, ties in label order; exact integer arithmetic.
 
@@ -55,7 +64,7 @@ def cut_offs(
     """(stratum, cut_hash, cut_id) of the last row inside each quota; a quota of zero has no row."""
     running = counts.withColumn("upto", F.sum("rows").over(W.partitionBy(stratum).orderBy("bucket")))
     edge = (
-        running.join(quotas.select(stratum, "quota"), stratum)
+        by_stratum(running, quotas.select(stratum, "quota"), stratum)
         .where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("rows") < F.col("quota")))
         .select(stratum, "bucket", (F.col("quota") - F.col("upto") + F.col("rows")).alias("need"))
     )
@@ -64,7 +73,7 @@ def cut_offs(
     hashed = hashed.withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
     rank = F.row_number().over(W.partitionBy(stratum).orderBy("h", row_id))
     last = (
-        hashed.join(edge, [stratum, "bucket"])
+        by_stratum(hashed, edge.withColumnRenamed("bucket", "edge"), stratum).where(F.col("bucket") == F.col("edge"))
         .withColumn("rank", rank)
         .where(F.col("rank") == F.col("need"))
         .select(stratum, F.col("h").alias("cut_hash"), F.col(row_id).alias("cut_id"))
@@ -101,7 +110,7 @@ def stratified_split(
     quotas = proportional_quotas(sizes, stratum, F.ceil(F.col("n") * F.lit(float(test_share))))
     cuts = cut_offs(keys, counts, quotas, stratum, row_id, seed)
     split = F.when(inside(row_id, seed), "test").otherwise("train")
-    return df.join(cuts, stratum, "left").withColumn("split", split).drop("cut_hash", "cut_id")
+    return by_stratum(df, cuts, stratum, "left").withColumn("split", split).drop("cut_hash", "cut_id")
 
 
 def nested_sample(
@@ -118,7 +127,7 @@ def nested_sample(
     quotas = proportional_quotas(sizes, stratum, F.lit(size))
     cuts = cut_offs(test, counts, quotas, stratum, row_id, seed)
     chosen = (F.col("split") == "test") & inside(row_id, seed)
-    return split.join(cuts, stratum, "left").withColumn("in_sample", chosen).drop("cut_hash", "cut_id")
+    return by_stratum(split, cuts, stratum, "left").withColumn("in_sample", chosen).drop("cut_hash", "cut_id")
 
 
 def split_report(split: DataFrame) -> DataFrame:
@@ -137,21 +146,13 @@ def balanced_per_class(
     df: DataFrame, per_class: int = SEED_PER_CLASS, stratum: str = "tag_clean", row_id: str = "claim_id",
     seed: int | str = SEED,
 ) -> DataFrame:
-    """min(per_class, class size) rows of every class, the first in hash order.
-
-    A small limit is pushed below the shuffle (a partial top-k per class), so a hot class sends at most
-    ``per_class`` rows per input partition; a large one goes through the cut-offs.  Only keys are ranked.
-    """
+    """min(per_class, class size) rows of every class, the first in hash order; only keys are looked at."""
     keys = df.select(row_id, stratum)
-    if per_class > RANK_LIMIT:
-        counts = bucket_counts(keys, stratum, row_id, seed)
-        sizes = counts.groupBy(stratum).agg(F.sum("rows").alias("size"))
-        quotas = sizes.select(stratum, F.least("size", F.lit(per_class)).alias("quota"))
-        cuts = cut_offs(keys, counts, quotas, stratum, row_id, seed)
-        return keys.join(cuts, stratum).where(inside(row_id, seed)).select(row_id, stratum)
-    keys = keys.withColumn("_h", row_hash(row_id, seed))
-    rank = F.row_number().over(W.partitionBy(stratum).orderBy("_h", row_id))
-    return keys.withColumn("_rank", rank).where(F.col("_rank") <= per_class).select(row_id, stratum)
+    counts = bucket_counts(keys, stratum, row_id, seed)
+    sizes = counts.groupBy(stratum).agg(F.sum("rows").alias("size"))
+    quotas = sizes.select(stratum, F.least("size", F.lit(per_class)).alias("quota"))
+    cuts = cut_offs(keys, counts, quotas, stratum, row_id, seed)
+    return by_stratum(keys, cuts, stratum).where(inside(row_id, seed)).select(row_id, stratum)
 
 
 def top_up(

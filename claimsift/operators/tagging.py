@@ -33,10 +33,16 @@ def claim_by_id(claims: DataFrame, claim_id: int) -> DataFrame:
 
 
 def latest_changes(events: DataFrame, *values: str) -> DataFrame:
-    """Last event per claim by (ts, event_id), combined before the shuffle; null is a value."""
-    return events.groupBy("claim_id").agg(
-        F.max_by(F.struct(*values), F.struct("ts", "event_id")).alias("last")
-    ).select("claim_id", *[F.col(f"last.{v}").alias(v) for v in values])
+    """Last event per claim by (ts, event_id); null is a value.  Event ids are distinct and not negative.
+
+    The order of an event is one number of fixed width, so that the maximum is a hash aggregate; the
+    winning events are then looked up.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(18,0)")
+    place = micros * F.lit(str(10**19)).cast("decimal(20,0)") + F.col("event_id").cast("decimal(19,0)")
+    placed = events.where("claim_id IS NOT NULL").select("claim_id", *values, place.cast("decimal(38,0)").alias("place"))
+    last = placed.groupBy("claim_id").agg(F.max("place").alias("place"))
+    return placed.join(last, ["claim_id", "place"]).select("claim_id", *values)
 
 
 def manual_changes(events: DataFrame) -> DataFrame:
@@ -69,7 +75,7 @@ def _with_claim(requests: DataFrame, right: DataFrame) -> DataFrame:
 
 def resolve_requests(requests: DataFrame, claims: DataFrame) -> DataFrame:
     """Add ``claim_id``, the claim's content and ``status``: invalid_id, not_found or found."""
-    known = claims.select(F.col("id").alias("claim_id"), "content", F.lit(True).alias("known"))
+    known = _requested(requests, claims).select("claim_id", "content", F.lit(True).alias("known"))
     status = (
         F.when(F.col("claim_id").isNull(), "invalid_id").when(F.col("known"), "found").otherwise("not_found")
     )
@@ -97,14 +103,13 @@ def _requested(requests: DataFrame, claims: DataFrame) -> DataFrame:
 def auto_tag_ml(requests: DataFrame, claims: DataFrame, model: LinearTextModel) -> DataFrame:
     """Requests to (status, tag, confidence, engine); a claim is scored once, in one transform."""
     asked = _requested(requests, claims).withColumn("status", request_status("content"))
-    scored = predict(asked.where("status = 'valid'"), model, "claim_id", text="content").select(
-        "claim_id", F.lit("tagged").alias("status"), F.col("predicted").alias("tag"),
-        confidence("probabilities", "class_index").alias("confidence"),
-    )
-    refused = asked.where("status <> 'valid'").select(
-        "claim_id", "status", F.lit(None).cast("string").alias("tag"), F.lit(None).cast("double").alias("confidence")
+    valid = F.col("status") == "valid"
+    asked = asked.withColumn("content", F.when(valid, F.col("content")).otherwise(""))
+    scored = predict(asked, model, "claim_id", "status", text="content").select(
+        "claim_id", F.when(valid, "tagged").otherwise(F.col("status")).alias("status"), F.when(valid, F.col("predicted")).alias("tag"),
+        F.when(valid, confidence("probabilities", "class_index")).alias("confidence"),
     )
-    return _resolve_ids(requests, scored.unionByName(refused)).select(
+    return _resolve_ids(requests, scored).select(
         "request_id", "claim_id", "status", "tag", "confidence",
         F.when(F.col("status") == "tagged", F.lit("ml")).alias("engine"),
     )

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimsift.fixed_values import MASKS_PROFILE
+from claimsift.fixed_values import MASKS_PROFILE, VOCABULARY_FULL
 from claimsift.functions.text import ngrams, remove_words, tokenise, word_count
 from claimsift.operators import cleaning, features, profile
 from claimsift.plans.tables import RAW_CLAIMS, STOPS, TAXONOMY, documents, planted_sql, raw_claims, words_sql
-from claimsift.session import new_path
+from claimsift.session import materialise, new_path
 from claimsift.sources.csv_files import read_claims_csv, write_csv
 
 RAW = planted_sql("claims_raw", RAW_CLAIMS)
@@ -96,7 +96,7 @@ QUERIES = {
     "tag_counts_clean": lambda s, d: cleaning.tag_counts(_profile(s, d), "tag_clean"),
     "distinct_tags": lambda s, d: cleaning.distinct_tags(_profile(s, d)),
     "clean_claims": lambda s, d: _text(cleaning.clean_claims(raw_claims(s, d), TAXONOMY), "claim_id", "tag_clean", "word_count"),
-    "min_support_filter": lambda s, d: cleaning.min_support_filter(_profile(s, d)).select("claim_id", "tag_clean"),
+    "min_support_filter": lambda s, d: cleaning.min_support_filter(materialise(_profile(s, d), "profile")).select("claim_id", "tag_clean"),
     "length_histogram": lambda s, d: profile.length_histogram(_lengths(s, d)),
     "length_density": lambda s, d: profile.length_density(_lengths(s, d)),
     "length_box_stats": lambda s, d: profile.length_box_stats(_lengths(s, d)),
@@ -107,7 +107,7 @@ QUERIES = {
     "top_bigrams_raw": lambda s, d: profile.top_bigrams(_usable(s, d), STOPS),
     "top_bigrams_clean": lambda s, d: profile.top_bigrams(_usable(s, d), STOPS, MASKS_PROFILE),
     "document_frequency": lambda s, d: features.document_frequency(_terms(s, d, 1, 1)),
-    "vocabulary": lambda s, d: features.top_terms(features.term_totals(_terms(s, d)), 10_000),
+    "vocabulary": lambda s, d: features.top_terms(features.term_totals(_terms(s, d)), VOCABULARY_FULL),
 }
 
 
@@ -194,5 +194,5 @@ SELECT term, count(*) AS df FROM d GROUP BY term""",
     "vocabulary": f"""WITH {_DOC_TOKENS},
 terms AS (SELECT unnest(t) AS term FROM t UNION ALL
   SELECT unnest(list_transform(range(1, len(t)), lambda i: concat(t[i], ' ', t[i + 1]))) FROM t)
-SELECT term, count(*) AS n FROM terms GROUP BY term ORDER BY n DESC, term LIMIT 10000""",
+SELECT term, count(*) AS n FROM terms GROUP BY term ORDER BY n DESC, term LIMIT 50000""",
 }

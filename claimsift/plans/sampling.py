@@ -70,9 +70,9 @@ def split_csv_round_trip(spark, sf):
 
 
 def make_splits(spark, sf):
-    """The flow from raw claims to the written split table, with at least 10 rows per class and a sample of 20."""
+    """The flow from raw claims to the written split table, with the default support and a sample of 20."""
     path = new_path(spark, "splits")
-    flows.make_splits(raw_claims(spark, sf), path, TAXONOMY, minimum=10, sample_size=20)
+    flows.make_splits(raw_claims(spark, sf), path, TAXONOMY, sample_size=20)
     sides = [splits.read_split(spark, path, side) for side in ("train", "test")]
     return sides[0].unionByName(sides[1]).select("claim_id", "tag_clean", "split", "in_sample", F.md5("claim").alias("digest"))
 
@@ -133,7 +133,7 @@ SELECT side, claim_id, tag_clean, md5(claim) AS digest FROM (
   SELECT split AS side, * FROM sampled UNION ALL SELECT 'sample' AS side, * FROM sampled WHERE in_sample)""",
     "make_splits": f"""WITH {CLEAN},
 kept AS (SELECT claim_id, tag_clean, claim FROM clean WHERE tag_clean IN (
-  SELECT tag_clean FROM clean GROUP BY tag_clean HAVING count(*) >= 10)),{sides_sql('kept')},{sample_sql('20')}
+  SELECT tag_clean FROM clean GROUP BY tag_clean HAVING count(*) >= 50)),{sides_sql('kept')},{sample_sql('20')}
 SELECT claim_id, tag_clean, split, in_sample, md5(claim) AS digest FROM sampled""",
     "split_csv_round_trip": f"""WITH {CORPUS}
 SELECT tag_clean, md5(CASE WHEN claim IN {NULL_LIST} THEN NULL ELSE claim END) AS digest, count(*) AS n

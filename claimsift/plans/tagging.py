@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimsift.fixed_values import ALLOWED_TAGS, MASKS_TRAINING, MAX_ATTEMPTS
+from claimsift.fixed_values import ALLOWED_TAGS, MASKS_TRAINING
 from claimsift.functions import answers
-from claimsift.operators import external, models, tagging
+from claimsift.operators import tagging
 from claimsift.plans.modelling import bayes_sql, naive_bayes
 from claimsift.plans.tables import (
     ANSWERS, APP_CLAIMS, REQUEST_TEXTS, STOPS, TAG_EVENTS, TAG_REQUESTS, documents, planted, planted_sql, table,
     words_sql,
 )
-from claimsift.session import materialise, new_path
-from claimsift.sources.claims_table import append_claims, read_claims_table, reset_claims
+from claimsift.session import new_path
+from claimsift.sources.claims_table import append_claims, read_claims_table, replace_claims, reset_claims
 from claimsift.streaming import auto_tag
 
 INBOX = "src5"
@@ -42,7 +42,7 @@ def _shown(claims):
 def read_table(spark, sf):
     """Written as the application's table, read back through its schema."""
     path = new_path(spark, "claims")
-    _claims(spark, sf).write.parquet(path)
+    replace_claims(_claims(spark, sf), path)
     return _shown(read_claims_table(spark, path))
 
 
@@ -59,7 +59,7 @@ def append(spark, sf):
     path = new_path(spark, "claims")
     reset_claims(_records(spark, sf), path, ["position"])
     more = table(spark, sf, "conversations").selectExpr("conv_id", "turn", "text AS content", "role AS tag")
-    return _shown(append_claims(more, path, ["conv_id", "turn"]))
+    return _shown(append_claims(more, path, ["conv_id", "turn"], "conversations"))
 
 
 def build_prompt(spark, sf):
@@ -93,6 +93,18 @@ def apply_tags(spark, sf):
     return _shown(tagging.apply_tags(_claims(spark, sf), tagging.manual_changes(_events(spark, sf))))
 
 
+def apply_tags_stored(spark, sf):
+    """The table is stored, read, changed and stored again as a new version."""
+    path = new_path(spark, "claims")
+    replace_claims(_claims(spark, sf), path)
+    changed = tagging.apply_tags(read_claims_table(spark, path), tagging.manual_changes(_events(spark, sf)))
+    return _shown(replace_claims(changed, path))
+
+
+def claim_by_id(spark, sf):
+    return _shown(tagging.claim_by_id(_claims(spark, sf), 77))
+
+
 def tag_state(spark, sf):
     rows = tagging.tag_state(tagging.manual_changes(_events(spark, sf)))
     return rows.withColumn("confidence", F.round("confidence", 6))
@@ -113,54 +125,22 @@ def auto_tag_ml(spark, sf):
     return tagging.auto_tag_ml(_requests(spark, sf), claims, model)
 
 
+def auto_tag_ml_table(spark, sf):
+    """Tags of the model end up in the stored table."""
+    path = new_path(spark, "claims")
+    replace_claims(_claims(spark, sf), path)
+    return _shown(replace_claims(tagging.apply_results(read_claims_table(spark, path), auto_tag_ml(spark, sf)), path))
+
+
 def auto_tag_stream(spark, sf):
     """The documents arrive as files of the shared folder and are tagged in micro-batches."""
     _, model = naive_bayes(spark, sf)
     inbox, target, checkpoint = (new_path(spark, name) for name in ("arrivals", "tagged", "stream"))
-    documents(spark, sf).selectExpr("doc_id AS claim_id", "text AS content").write.parquet(inbox)
+    documents(spark, sf).selectExpr("doc_id AS claim_id", "text AS content", "doc_id AS arrived").write.parquet(inbox)
     arrivals = auto_tag.read_arrivals(spark, inbox, spark.read.parquet(inbox).schema, max_files=4)
     auto_tag.auto_tag_stream(arrivals, model, target, checkpoint).awaitTermination()
-    return auto_tag.read_tagged(spark, target)
-
-
-class PlannedClient:
-    """Answers by the length of the prompt; some prompts fail a number of times first."""
-
-    def __init__(self):
-        self.failures = {}
-
-    def __call__(self, prompt: str) -> str:
-        n = len(prompt)
-        if n % 13 == 0:
-            raise RuntimeError("service unavailable")
-        planned = n % 7 if n % 7 != 6 else 5
-        seen = self.failures.get(prompt, 0)
-        if seen < planned:
-            self.failures[prompt] = (seen + 1) % MAX_ATTEMPTS
-            raise RuntimeError("429 RESOURCE_EXHAUSTED")
-        self.failures[prompt] = 0
-        return "" if n % 17 == 0 else f" {ALLOWED_TAGS[n % 10]}\n"
-
-
-class PlannedClock:
-    """Time that passes only by waiting."""
-
-    def __init__(self):
-        self.now = 0.0
-
-    def __call__(self) -> float:
-        return self.now
-
-    def sleep(self, seconds: float) -> None:
-        self.now += seconds
-
-
-def score_external(spark, sf):
-    """Written once, as a lost or repeated task would call the service again."""
-    clock = PlannedClock()
-    rows = documents(spark, sf).select(F.col("doc_id").alias("claim_id"), F.col("text").alias("claim"))
-    scored = external.score_external(rows, PlannedClient, clock, clock.sleep, pause=0.0)
-    return materialise(scored, "answers").select("claim_id", "prediction_raw", F.round("latency_sec", 3).alias("latency_sec"), "attempts")
+    auto_tag.compact_tagged(spark, target)
+    return auto_tag.read_tagged(spark, target).drop("arrived")
 
 
 QUERIES = {
@@ -177,12 +157,14 @@ QUERIES = {
     "validate_requests": validate_requests,
     "resolve_requests": resolve_requests,
     "apply_tags": apply_tags,
+    "apply_tags_stored": apply_tags_stored,
+    "claim_by_id": claim_by_id,
     "tag_state": tag_state,
     "auto_tag_external": auto_tag_external,
     "auto_tag_external_table": auto_tag_external_table,
     "auto_tag_ml": auto_tag_ml,
+    "auto_tag_ml_table": auto_tag_ml_table,
     "auto_tag_stream": auto_tag_stream,
-    "score_external": score_external,
 }
 
 CLAIMS = planted_sql("claims", APP_CLAIMS)
@@ -251,21 +233,19 @@ FROM parsed LEFT JOIN claims ON id = claim_id""",
     "apply_tags": f"""WITH {CLAIMS}, {EVENTS}, {TYPED}, {LAST}
 SELECT id, md5(content) AS digest, CASE WHEN l.claim_id IS NOT NULL THEN l.tag ELSE c.tag END AS tag
 FROM claims c LEFT JOIN last l ON l.claim_id = c.id""",
+    "claim_by_id": f"WITH {CLAIMS} SELECT id, md5(content) AS digest, tag FROM claims WHERE id = 77",
     "tag_state": f"WITH {EVENTS}, {TYPED}, {LAST} SELECT claim_id, tag, engine, round(confidence, 6) AS confidence FROM last",
     "auto_tag_external": f"WITH {EXTERNAL} SELECT * FROM result",
     "auto_tag_external_table": f"""WITH {EXTERNAL}
 SELECT c.id, md5(c.content) AS digest, coalesce(r.tag, c.tag) AS tag
 FROM claims c LEFT JOIN (SELECT DISTINCT claim_id, tag FROM result WHERE status = 'tagged') r ON r.claim_id = c.id""",
+    "auto_tag_ml_table": f"""WITH {CLAIMS}, {REQUESTS}, {PARSED}, {all_texts_sql()}
+SELECT c.id, md5(c.content) AS digest, CASE WHEN a.status = 'tagged' AND c.id IN (SELECT claim_id FROM parsed) THEN a.tag ELSE c.tag END AS tag
+FROM claims c JOIN all_tagged a ON a.claim_id + 1 = c.id""",
     "auto_tag_ml": f"""WITH {REQUESTS}, {PARSED}, {all_texts_sql()}
 SELECT request_id, p.claim_id, CASE WHEN p.claim_id IS NULL THEN 'invalid_id' ELSE coalesce(a.status, 'not_found') END AS status,
        a.tag, a.confidence, CASE WHEN a.status = 'tagged' THEN 'ml' END AS engine
 FROM parsed p LEFT JOIN all_tagged a ON a.claim_id + 1 = p.claim_id""",
     "auto_tag_stream": f"WITH {all_texts_sql()} SELECT claim_id, status, tag, confidence FROM all_tagged",
-    "score_external": f"""WITH {ALLOWED},
-p AS (SELECT doc_id AS claim_id, length({PROMPT}) AS n FROM documents),
-q AS (SELECT *, least(n % 7, 5) AS k FROM p)
-SELECT claim_id, CASE WHEN n % 13 = 0 THEN 'Erreur' WHEN k = 5 THEN 'Erreur (Quota dépassé)' WHEN n % 17 = 0 THEN 'Erreur'
-  ELSE (SELECT tag FROM allowed WHERE ord = n % 10) END AS prediction_raw,
-  CASE WHEN n % 13 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(5 * k * (k + 1) AS DOUBLE) END AS latency_sec,
-  CAST(CASE WHEN n % 13 = 0 THEN 1 WHEN k = 5 THEN 5 ELSE k + 1 END AS INT) AS attempts FROM q""",
 }
+ORACLES["apply_tags_stored"] = ORACLES["apply_tags"]

@@ -8,14 +8,11 @@ the table when that is below ``spark.sql.autoBroadcastJoinThreshold`` and shuffl
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folder: str | None = None
+SPREAD_BYTES = 256 << 20
 
 
 def build_session(app_name: str = "claimsift", master: str | None = None, **settings: str) -> SparkSession:
@@ -35,22 +32,25 @@ def build_session(app_name: str = "claimsift", master: str | None = None, **sett
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only for local sessions without it."""
-    global _local_folder
+    """The folder named by ``spark.checkpoint.dir``, else one in the warehouse; every executor reaches either."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="claimsift-")
-        atexit.register(shutil.rmtree, _local_folder, ignore_errors=True)
-    return _local_folder
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared").rstrip("/")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables."""
+    return f"{shared_folder(spark)}/claimsift/{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/claimsift/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's folder."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables; to be called once its results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -62,9 +62,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core for a table of fewer files than cores (a file of one row group is one task).
+    """Deal a stored table of at most SPREAD_BYTES to all cores: a file of one row group is one task.
 
-    A large table has far more files than the cluster has cores and is left where it lies.
+    Larger tables have row groups enough and stay where they lie, so at most SPREAD_BYTES are shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size <= SPREAD_BYTES else df

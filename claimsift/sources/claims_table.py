@@ -1,7 +1,10 @@
-"""The application's table of claims: id, content, tag."""
+"""The application's table of claims: id, content, tag; kept as versions with a log of which is current."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +12,37 @@ from claimsift.operators.numbering import number_rows
 from claimsift.schemas import CLAIMS
 
 
+LOG = "n long, version string"
+
+
+def _current(spark: SparkSession, path: str) -> tuple[int, str]:
+    """Number and folder of the newest version."""
+    last = spark.read.schema(LOG).json(f"{path}/log").orderBy(F.desc("n")).first()
+    return last["n"], f"{path}/{last['version']}"
+
+
 def read_claims_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CLAIMS).parquet(path)
+    """The newest version of the table."""
+    return spark.read.schema(CLAIMS).option("recursiveFileLookup", "true").parquet(_current(spark, path)[1])
+
+
+def replace_claims(claims: DataFrame, path: str) -> DataFrame:
+    """Store a new state of the whole table, which may be computed from the one before.
+
+    It is written to a folder of its own; a line in the log, written last, makes it the current one.
+    A job that fails leaves the old state, a reader sees one state or the other.
+    """
+    spark = claims.sparkSession
+    version = f"version-{uuid.uuid4().hex}"
+    claims.select(*CLAIMS.names).write.parquet(f"{path}/{version}/batch=0")
+    try:
+        n = _current(spark, path)[0] + 1
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        n = 1
+    spark.createDataFrame([(n, version)], LOG).coalesce(1).write.mode("append").json(f"{path}/log")
+    return read_claims_table(spark, path)
 
 
 def read_claims_jdbc(
@@ -26,18 +58,26 @@ def _required(content: str) -> Column:
     return F.coalesce(F.col(content), F.raise_error(F.lit("content must not be null")).cast("string"))
 
 
+def _numbered(records: DataFrame, order: list[str], start: int) -> DataFrame:
+    """Records with ids from ``start`` in the given order, which is total and not null; only keys are put in order."""
+    rows = records.select(*order, _required("content").alias("content"), F.col("tag").cast("string").alias("tag"))
+    return rows.join(number_rows(records.select(*order), list(order), "id", start=start), list(order)).select(*CLAIMS.names)
+
+
 def reset_claims(records: DataFrame, path: str, order: list[str]) -> DataFrame:
     """Replace the table: ids 1..n in the given order; missing content is an error."""
-    rows = records.select(*order, _required("content").alias("content"), F.col("tag").cast("string").alias("tag"))
-    number_rows(rows, list(order), "id").select(*CLAIMS.names).write.mode("overwrite").parquet(path)
-    return read_claims_table(records.sparkSession, path)
+    return replace_claims(_numbered(records, order, 1), path)
+
 
+def append_claims(records: DataFrame, path: str, order: list[str], batch: str) -> DataFrame:
+    """Insert claims with the ids that follow the largest one.
 
-def append_claims(records: DataFrame, path: str, order: list[str]) -> DataFrame:
-    """Insert claims with the ids that follow the current maximum."""
+    ``batch`` names the insertion: a job that is run again overwrites what it wrote the first time.
+    """
     spark = records.sparkSession
-    last = read_claims_table(spark, path).agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).first()["last"]
-    rows = records.select(*order, _required("content").alias("content"), F.col("tag").cast("string").alias("tag"))
-    numbered = number_rows(rows, list(order), "id", start=last + 1)
-    numbered.select(*CLAIMS.names).write.mode("append").parquet(path)
+    folder = _current(spark, path)[1]
+    stored = spark.read.schema(CLAIMS).option("recursiveFileLookup", "true").parquet(folder)
+    own = F.col("_metadata.file_path").contains(f"/batch={batch}/")
+    last = stored.where(~own).agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).first()["last"]
+    _numbered(records, order, last + 1).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
     return read_claims_table(spark, path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,10 +14,10 @@ from claimsift.operators.models import LinearTextModel, predict
 
 TAGGED = T.StructType([
     T.StructField("claim_id", T.LongType()),
+    T.StructField("arrived", T.LongType()),
     T.StructField("status", T.StringType()),
     T.StructField("tag", T.StringType()),
     T.StructField("confidence", T.DoubleType()),
-    T.StructField("batch_id", T.LongType()),
 ])
 
 
@@ -24,25 +26,30 @@ def read_arrivals(spark: SparkSession, path: str, schema: T.StructType, max_file
 
 
 def tag_batch(batch: DataFrame, model: LinearTextModel) -> DataFrame:
-    """One micro-batch of (claim_id, content): validate, score, keep refusals."""
-    checked = batch.select("claim_id", "content", request_status("content").alias("status"))
-    scored = predict(checked.where("status = 'valid'"), model, "claim_id", text="content").select(
-        "claim_id", F.lit("tagged").alias("status"), F.col("predicted").alias("tag"),
-        confidence("probabilities", "class_index").alias("confidence"),
-    )
-    refused = checked.where("status <> 'valid'").select(
-        "claim_id", "status", F.lit(None).cast("string").alias("tag"), F.lit(None).cast("double").alias("confidence")
-    )
-    return scored.unionByName(refused)
+    """One micro-batch of (claim_id, content, arrived): validate and score in one pass over the rows.
+
+    Of several versions of a claim the one that arrived last is kept; refused texts are scored as empty ones.
+    """
+    last = batch.groupBy("claim_id").agg(F.max("arrived").alias("arrived"))
+    newest = batch.join(last, ["claim_id", "arrived"]).dropDuplicates(["claim_id", "arrived"])
+    checked = newest.select("claim_id", "arrived", "content", request_status("content").alias("status"))
+    valid = F.col("status") == "valid"
+    asked = checked.withColumn("content", F.when(valid, F.col("content")).otherwise(""))
+    return predict(asked, model, "claim_id", "arrived", "status", text="content").select(
+        "claim_id", "arrived", F.when(valid, "tagged").otherwise(F.col("status")).alias("status"),
+        F.when(valid, F.col("predicted")).alias("tag"), F.when(valid, confidence("probabilities", "class_index")).alias("confidence"))
 
 
 def auto_tag_stream(arrivals: DataFrame, model: LinearTextModel, target: str, checkpoint: str) -> StreamingQuery:
     """Tag everything available, then stop.
 
     Each batch overwrites its own folder, so a batch that is replayed after a failure leaves one copy.
+    Folders of a query whose checkpoint was lost are overwritten or stay as older arrivals; either is harmless.
     """
+    run = uuid.uuid4().hex  # numbers of batches start again with a new checkpoint
+
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        tag_batch(batch, model).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        tag_batch(batch, model).write.mode("overwrite").parquet(f"{target}/{run}-{batch_id}")
 
     return (
         arrivals.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
@@ -51,8 +58,21 @@ def auto_tag_stream(arrivals: DataFrame, model: LinearTextModel, target: str, ch
 
 
 def read_tagged(spark: SparkSession, target: str) -> DataFrame:
-    """Current state: the last batch that saw a claim decides."""
-    rows = spark.read.schema(TAGGED).parquet(target)
+    """Current state: the version of a claim that arrived last decides, whatever batch tagged it."""
+    rows = spark.read.schema(TAGGED).option("recursiveFileLookup", "true").parquet(target)
     return rows.groupBy("claim_id").agg(
-        F.max_by(F.struct("status", "tag", "confidence"), "batch_id").alias("last")
-    ).select("claim_id", "last.status", "last.tag", "last.confidence")
+        F.max_by(F.struct("arrived", "status", "tag", "confidence"), "arrived").alias("last")
+    ).select("claim_id", "last.*")
+
+
+def compact_tagged(spark: SparkSession, target: str) -> None:
+    """Replace the folders of past batches by one with the current state; not to be run beside the stream.
+
+    If it is cut off before the old folders are gone, their rows only repeat what the new one says.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [status.getPath() for status in files.listStatus(path)]
+    read_tagged(spark, target).write.parquet(f"{target}/state-{uuid.uuid4().hex}")
+    for folder in old:
+        files.delete(folder, True)

@@ -2,6 +2,7 @@
 
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -60,7 +61,8 @@ if __name__ == "__main__":
 
     directory, wanted = sys.argv[1], sys.argv[2:]
     session = build_session("compare", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false"})
+        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="claimsift-compare-")})
     session.sparkContext.setLogLevel("ERROR")
     duck, oracles = connect(directory), registry.oracle_sql()
     for key, fn in registry.queries().items():

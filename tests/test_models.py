@@ -171,3 +171,16 @@ def test_load_or_train_branches(split, spark, tmp_path):
 def test_training_table_without_vectors(split):
     table = models.prepare_training(split, 100, STOPS, vectors=False)
     assert isinstance(table, TrainingTable) and table.vectors is None and table.labels == ["de", "en", "es", "fr"]
+
+
+def test_a_claim_that_occurs_twice_is_scored_twice_and_nothing_is_shuffled(spark):
+    coefficients = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0])], "idx int, coef array<double>")
+    model = LinearTextModel("m", Vectoriser(["a", "b"], None, []), ["x", "y"], [0.0, 0.0], coefficients, "softmax")
+    df = spark.createDataFrame([(1, [0], [1.0]), (1, [1], [1.0]), (2, [0, 1], [1.0, 1.0])], "claim_id int, indices array<int>, weights array<double>")
+    found = models.score(df, model, "claim_id")
+    assert sorted((r["claim_id"], r["predicted"], r["scores"]) for r in found.collect()) == [(1, "x", [1.0, 0.0]), (1, "y", [0.0, 2.0]), (2, "y", [1.0, 2.0])]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Subqueries")[0]
+    assert "Join" not in plan and "hashpartitioning" not in plan
+    short = LinearTextModel("m", Vectoriser(["a", "b", "c"], None, []), ["x", "y"], [0.0, 0.0], coefficients, "softmax")
+    with pytest.raises(Exception, match="coefficients and vocabulary differ"):
+        models.score(df, short, "claim_id").collect()

@@ -87,8 +87,6 @@ def test_balanced_small_and_large_limits(keys):
             members = sorted((i for i, k in rows if k == c), key=lambda i: (_hash(i), i))
             expected |= set(members[:limit])
         assert {r["claim_id"] for r in out} == expected
-    plan = sampling.balanced_per_class(keys, 10)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
 
 
 def test_top_up_reports_a_shortfall(spark):
@@ -110,3 +108,14 @@ def test_long_top_list_with_ties(spark):
     for size in (900, 2500, 6000, 9000):
         expected = set(sorted(rows, key=lambda r: (-r[1], r[0]))[:size])
         assert {(r["term"], r["n"]) for r in top_terms(totals, size).collect()} == expected
+
+
+def test_null_is_a_stratum_in_every_path(spark):
+    df = spark.range(3000).select(
+        F.col("id").alias("claim_id"), F.when(F.col("id") % 3 > 0, F.when(F.col("id") % 2 == 0, "a").otherwise("b")).alias("tag_clean"))
+    for limit in (1000, 1001, 5):
+        sizes = {r["tag_clean"]: r["count"] for r in sampling.balanced_per_class(df, limit).groupBy("tag_clean").count().collect()}
+        assert sizes == dict.fromkeys((None, "a", "b"), min(limit, 1000))
+    split = sampling.nested_sample(sampling.stratified_split(df), 60)
+    assert split.count() == 3000 and split.where("split = 'test'").count() == 600
+    assert {r["tag_clean"]: r["count"] for r in split.where("in_sample").groupBy("tag_clean").count().collect()} == dict.fromkeys((None, "a", "b"), 20)

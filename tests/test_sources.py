@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from claimsift.schemas import SPLIT
 from claimsift.sources import reports, splits
-from claimsift.sources.claims_table import append_claims, read_claims_table, reset_claims
+from claimsift.schemas import CLAIMS
+from claimsift.sources.claims_table import append_claims, read_claims_table, replace_claims, reset_claims
 from claimsift.sources.csv_files import read_claims_csv
 
 GOLDEN_CSV = (
@@ -78,11 +79,21 @@ def test_claims_table(spark, tmp_path):
     first = spark.createDataFrame([(3, "c", None), (1, "a", "x"), (2, "b", None)], "p int, content string, tag string")
     assert [tuple(r) for r in reset_claims(first, path, ["p"]).orderBy("id").collect()] == [
         (1, "a", "x"), (2, "b", None), (3, "c", None)]
-    append_claims(first, path, ["p"])
+    append_claims(first, path, ["p"], "one")
+    append_claims(first, path, ["p"], "one")  # a retry
     assert [r["id"] for r in read_claims_table(spark, path).orderBy("id").collect()] == [1, 2, 3, 4, 5, 6]
     bad = first.withColumn("content", F.when(F.col("p") == 2, None).otherwise(F.col("content")))
     with pytest.raises(Exception, match="content must not be null"):
-        append_claims(bad, path, ["p"])
+        append_claims(bad, path, ["p"], "two")
     reset_claims(first.limit(0), path, ["p"])
     assert read_claims_table(spark, path).count() == 0
-    assert append_claims(first, path, ["p"]).agg(F.max("id")).first()[0] == 3
+    assert append_claims(first, path, ["p"], "one").agg(F.max("id")).first()[0] == 3
+
+
+def test_a_table_can_be_replaced_by_what_is_computed_from_it(spark, tmp_path):
+    path = str(tmp_path / "claims")
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "b", None)], CLAIMS)
+    stored = replace_claims(rows, path)
+    again = replace_claims(stored.withColumn("tag", F.coalesce("tag", F.lit("new"))), path)
+    assert sorted(map(tuple, again.collect())) == [(1, "a", "x"), (2, "b", "new")]
+    assert sorted(map(tuple, read_claims_table(spark, path).collect())) == [(1, "a", "x"), (2, "b", "new")]

@@ -129,8 +129,8 @@ def test_external_scoring_is_the_only_python(spark):
 
 def test_stream_equals_batch_and_replay_changes_nothing(spark, model, claims):
     inbox, target, checkpoint = (new_path(spark, n) for n in ("arrivals", "tagged", "stream"))
-    texts = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 100 AS claim_id", "text AS content")
-    both = texts.unionByName(claims.selectExpr("id AS claim_id", "content"))
+    texts = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 100 AS claim_id", "text AS content", "doc_id AS arrived")
+    both = texts.unionByName(claims.selectExpr("id AS claim_id", "content", "id AS arrived"))
     both.repartition(5).write.parquet(inbox)
     schema = spark.read.parquet(inbox).schema
     query = auto_tag.auto_tag_stream(auto_tag.read_arrivals(spark, inbox, schema, 2), model, target, checkpoint)
@@ -146,3 +146,22 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, model, claims):
     other = new_path(spark, "stream")  # a lost checkpoint replays every file: same claims, same tags
     auto_tag.auto_tag_stream(auto_tag.read_arrivals(spark, inbox, schema, 2), model, target, other).awaitTermination()
     assert rows(auto_tag.read_tagged(spark, target)) == expected
+
+
+def test_the_version_that_arrived_last_decides(spark, model):
+    target, inbox = new_path(spark, "tagged"), new_path(spark, "arrivals")
+    text = {r["lang"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("n_chars > 800").collect()}
+    rows = [(1, text["de"], 5), (1, text["fr"], 9), (1, text["en"], 7), (2, text["es"], 1)]
+    rows = spark.createDataFrame(rows, "claim_id long, content string, arrived long")
+    rows.coalesce(1).write.parquet(inbox)
+    older = spark.createDataFrame([(2, text["de"], 0)], rows.schema)
+    for batch in (older, rows):
+        other = new_path(spark, "arrivals")
+        batch.coalesce(1).write.parquet(other)
+        auto_tag.auto_tag_stream(
+            auto_tag.read_arrivals(spark, other, rows.schema), model, target, new_path(spark, "stream")).awaitTermination()
+    auto_tag.auto_tag_stream(auto_tag.read_arrivals(spark, other, rows.schema), model, target, new_path(spark, "stream")).awaitTermination()
+    state = {r["claim_id"]: (r["tag"], r["arrived"]) for r in auto_tag.read_tagged(spark, target).collect()}
+    assert state == {1: ("fr", 9), 2: ("es", 1)}
+    auto_tag.compact_tagged(spark, target)
+    assert {r["claim_id"]: (r["tag"], r["arrived"]) for r in auto_tag.read_tagged(spark, target).collect()} == state
