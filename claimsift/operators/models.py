@@ -29,6 +29,7 @@ from claimsift.session import materialise
 
 BROADCAST_BYTES = 256 * 1024 * 1024
 MOST_CLASSES = 10_000
+TOLERANCE = 1e-5  # relative gain of the mean loss below which a solver stops
 
 
 @dataclass
@@ -127,7 +128,7 @@ def train_logistic(
     n = vectors.count()
     fitted = LogisticRegression(
         family="multinomial", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
-        maxIter=max_iter, aggregationDepth=aggregation_depth,
+        maxIter=max_iter, tol=TOLERANCE, aggregationDepth=aggregation_depth,
     ).fit(vectors)
     return LinearTextModel(
         "Logistic Regression", vectoriser, list(labels), [float(b) for b in fitted.interceptVector],
@@ -142,8 +143,8 @@ def train_linear_ovr(
 ) -> LinearTextModel:
     """One binary model per class: logistic loss, or the hinge of a linear SVM."""
     base = (
-        LinearSVC(regParam=alpha, standardization=False, maxIter=max_iter) if hinge
-        else LogisticRegression(family="binomial", regParam=alpha, standardization=False, maxIter=max_iter)
+        LinearSVC(regParam=alpha, standardization=False, maxIter=max_iter, tol=TOLERANCE) if hinge
+        else LogisticRegression(family="binomial", regParam=alpha, standardization=False, maxIter=max_iter, tol=TOLERANCE)
     )
     fitted = OneVsRest(classifier=base, parallelism=parallelism).fit(vectors)
     matrix = np.vstack([m.coefficients.toArray() for m in fitted.models])
