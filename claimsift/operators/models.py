@@ -29,7 +29,7 @@ from claimsift.session import materialise
 
 BROADCAST_BYTES = 256 * 1024 * 1024
 MOST_CLASSES = 10_000
-TOLERANCE = 1e-5  # relative gain of the mean loss below which a solver stops
+TOLERANCE = 1e-4  # relative gain of the mean loss below which a solver stops
 
 
 @dataclass

@@ -17,8 +17,14 @@ def duck():
     return connect(SF_DIR)
 
 
+# Iterative solvers over 50,000 terms, a minute or more each; CLAIMSIFT_SLOW=1 runs them here as well as tests/compare.py does.
+SLOW = {"logistic_regression_optimum", "linear_ovr_optimum", "comparison_round_trip", "load_or_train_model"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
+    if name in SLOW and not os.environ.get("CLAIMSIFT_SLOW"):
+        pytest.skip("slow solver; set CLAIMSIFT_SLOW=1")
     plans = []
 
     def run(session, directory):
