@@ -72,3 +72,31 @@ def test_one_of_each_group_stays(spark, odd, odd_rows):
     assert [r[0] for r in rows_of(kept, "doc_id")] == [1, 10, 3, 6, 7, 8, 9, None]
     nameless = spark.createDataFrame([document(None, sentence(1, 20)), document(None, sentence(1, 20)), document(None, sentence(9, 20))], DOCS)
     assert st.keep_one(nameless).count() == 2
+
+
+def test_stage_links_every_pair_that_is_similar_enough(spark):
+    from corpus_pipeline import near_dedup
+
+    rng = np.random.default_rng(3)
+    texts = []
+    for k in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+        texts.append(" ".join(words))
+        for changed in (1, 1, 2, 3, 3, 4, 5, 8):
+            edited = list(words)
+            for at in rng.choice(150, changed, replace=False):
+                edited[at] = f"x{rng.integers(0, 5000)}"
+            texts.append(" ".join(edited))
+    texts += [None, "", "  ", "one word", "One  word", "other words", "a a a a a a a a a", "a a a a a"]
+    sets = [{" ".join(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    rows = [document(k, t) for k, t in enumerate(texts)]
+    kept = near_dedup(spark, spark.createDataFrame(rows, DOCS).repartition(5), "")
+    assert [r[0] for r in kept.orderBy("doc_id").select("doc_id").collect()] == sorted(set(group))
+    nameless = [document(None, t) for t in texts]
+    assert near_dedup(spark, spark.createDataFrame(nameless, DOCS).repartition(5), "").count() == len(set(group))
+    assert near_dedup(spark, spark.createDataFrame([], DOCS), "").collect() == []
