@@ -35,14 +35,19 @@ def claim_by_id(claims: DataFrame, claim_id: int) -> DataFrame:
 def latest_changes(events: DataFrame, *values: str) -> DataFrame:
     """Last event per claim by (ts, event_id); null is a value.  Event ids are distinct and not negative.
 
+    An event without ts is older than any other, among events of one ts one without event_id; of events
+    that lack the same the greatest values stay, so every claim with an event has one row.
     The order of an event is one number of fixed width, so that the maximum is a hash aggregate; the
     winning events are then looked up.
     """
     micros = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(18,0)")
-    place = micros * F.lit(str(10**19)).cast("decimal(20,0)") + F.col("event_id").cast("decimal(19,0)")
+    micros = F.coalesce(micros, F.lit(str(1 - 10**18)).cast("decimal(18,0)"))
+    number = F.coalesce(F.col("event_id").cast("decimal(19,0)"), F.lit("-1").cast("decimal(19,0)"))
+    place = micros * F.lit(str(10**19)).cast("decimal(20,0)") + number
     placed = events.where("claim_id IS NOT NULL").select("claim_id", *values, place.cast("decimal(38,0)").alias("place"))
     last = placed.groupBy("claim_id").agg(F.max("place").alias("place"))
-    return placed.join(last, ["claim_id", "place"]).select("claim_id", *values)
+    winners = placed.join(last, ["claim_id", "place"])
+    return winners.groupBy("claim_id").agg(F.max(F.struct(*values)).alias("last")).select("claim_id", "last.*")
 
 
 def manual_changes(events: DataFrame) -> DataFrame:

@@ -28,11 +28,15 @@ def read_arrivals(spark: SparkSession, path: str, schema: T.StructType, max_file
 def tag_batch(batch: DataFrame, model: LinearTextModel) -> DataFrame:
     """One micro-batch of (claim_id, content, arrived): validate and score in one pass over the rows.
 
-    Of several versions of a claim the one that arrived last is kept; refused texts are scored as empty ones.
+    Of several versions of a claim the one that arrived last is kept, one without ``arrived`` only if no
+    other is there; refused texts are scored as empty ones.  A row without claim_id is refused as
+    ``invalid_id``, every such row for itself.
     """
-    last = batch.groupBy("claim_id").agg(F.max("arrived").alias("arrived"))
-    newest = batch.join(last, ["claim_id", "arrived"]).dropDuplicates(["claim_id", "arrived"])
-    checked = newest.select("claim_id", "arrived", "content", request_status("content").alias("status"))
+    named = batch.where("claim_id IS NOT NULL").select("claim_id", "arrived", "content")
+    last = named.groupBy("claim_id").agg(F.max("arrived").alias("last"))
+    newest = named.join(last, "claim_id").where(F.col("arrived").eqNullSafe(F.col("last"))).dropDuplicates(["claim_id"])
+    checked = newest.select("claim_id", "arrived", "content", request_status("content").alias("status")).unionByName(
+        batch.where("claim_id IS NULL").select("claim_id", "arrived", "content", F.lit("invalid_id").alias("status")))
     valid = F.col("status") == "valid"
     asked = checked.withColumn("content", F.when(valid, F.col("content")).otherwise(""))
     return predict(asked, model, "claim_id", "arrived", "status", text="content").select(
@@ -58,11 +62,17 @@ def auto_tag_stream(arrivals: DataFrame, model: LinearTextModel, target: str, ch
 
 
 def read_tagged(spark: SparkSession, target: str) -> DataFrame:
-    """Current state: the version of a claim that arrived last decides, whatever batch tagged it."""
+    """Current state: the version of a claim that arrived last decides, whatever batch tagged it.
+
+    A version without ``arrived`` is older than any other.  Rows without claim_id are all there; nothing tells
+    a row that was replayed with a new checkpoint from another one.
+    """
     rows = spark.read.schema(TAGGED).option("recursiveFileLookup", "true").parquet(target)
-    return rows.groupBy("claim_id").agg(
-        F.max_by(F.struct("arrived", "status", "tag", "confidence"), "arrived").alias("last")
+    values = ["arrived", "status", "tag", "confidence"]
+    named = rows.where("claim_id IS NOT NULL").groupBy("claim_id").agg(
+        F.max_by(F.struct(*values), F.struct("arrived")).alias("last")
     ).select("claim_id", "last.*")
+    return named.unionByName(rows.where("claim_id IS NULL").select("claim_id", *values))
 
 
 def compact_tagged(spark: SparkSession, target: str) -> None:

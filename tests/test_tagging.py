@@ -165,3 +165,28 @@ def test_the_version_that_arrived_last_decides(spark, model):
     assert state == {1: ("fr", 9), 2: ("es", 1)}
     auto_tag.compact_tagged(spark, target)
     assert {r["claim_id"]: (r["tag"], r["arrived"]) for r in auto_tag.read_tagged(spark, target).collect()} == state
+
+
+def test_rows_without_id_or_order_are_not_lost(spark, model):
+    rows = [(None, "a claim without id", 1), (None, "a claim without id", 1), (None, None, None), (1, "a claim without arrival", None),
+            (2, "a claim without arrival", None), (2, "ab", 3), (3, "ab", None), (3, "ab", None)]
+    inbox, target = new_path(spark, "arrivals"), new_path(spark, "tagged")
+    batch = spark.createDataFrame(rows, "claim_id long, content string, arrived long")
+    batch.write.parquet(inbox)
+    want = [(1, None, "tagged"), (2, 3, "too_short"), (3, None, "too_short"), (None, 1, "invalid_id"), (None, 1, "invalid_id"), (None, None, "invalid_id")]
+    seen = lambda df: sorted((tuple(r) for r in df.select("claim_id", "arrived", "status").collect()), key=str)
+    assert seen(auto_tag.tag_batch(batch, model)) == sorted(want, key=str)
+    auto_tag.auto_tag_stream(auto_tag.read_arrivals(spark, inbox, batch.schema), model, target, new_path(spark, "stream")).awaitTermination()
+    assert seen(auto_tag.read_tagged(spark, target)) == sorted(want, key=str)
+    auto_tag.compact_tagged(spark, target)
+    assert seen(auto_tag.read_tagged(spark, target)) == sorted(want, key=str)
+
+
+def test_events_without_ts_or_id_count(spark):
+    day = datetime(2024, 1, 1)
+    events = spark.createDataFrame([
+        (1, None, 1, "a", "ml", None), (None, day, 2, "b", "ml", None), (None, None, 3, "c", "ml", None), (None, None, 3, "c", "ml", None),
+        (7, None, 4, "older", "ml", None), (None, day, 4, "no id", "ml", None), (0, day, 4, "last", "ml", None)], EVENTS)
+    assert sorted((r["claim_id"], r["tag"]) for r in tagging.tag_state(events).collect()) == [(1, "a"), (2, "b"), (3, "c"), (4, "last")]
+    claims = spark.createDataFrame([(k, "x", "old") for k in range(1, 5)], "id bigint, content string, tag string")
+    assert {r["id"]: r["tag"] for r in tagging.apply_tags(claims, events).collect()} == {1: "a", 2: "b", 3: "c", 4: "last"}
