@@ -21,6 +21,7 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 MARGIN = 6  # words without a sign of personal data that a window takes along on either side
 WINDOWS = 512  # windows decoded at a time
+PIECE = 256  # words of a longer window whose features are in memory at a time
 EPOCHS = 100
 EXAMPLES = 405  # rows of the labelled table
 SEED = 7
@@ -245,6 +246,27 @@ class RandomField:
             at = np.where(t < sizes, before[np.arange(n), t, at], at) if t else at
         return [[LABELS[c] for c in chosen[i, :size]] for i, size in enumerate(sizes)]
 
+    def decode_run(self, words: list[str], piece: int) -> list[str]:
+        """Best labels of one window of any length: as ``decode``, features of ``piece`` words in memory at a time."""
+        before = np.zeros((len(words), len(LABELS)), np.uint8)
+        best = None
+        for at in range(0, len(words), piece):
+            left = max(0, at - 1)  # a word's features look at one word on either side
+            table, _ = padded([self.encode(words[left:at + piece + 1])[at - left:at - left + piece]])
+            for t, emit in enumerate(self.emissions(table)[0], at):
+                if best is None:
+                    best = self.start + emit
+                    continue
+                paths = best[:, None] + self.steps
+                before[t] = paths.argmax(axis=0)
+                best = paths.max(axis=0) + emit
+        at = int(best.argmax())
+        chosen = [at]
+        for t in range(len(words) - 1, 0, -1):
+            at = int(before[t, at])
+            chosen.append(at)
+        return [LABELS[c] for c in reversed(chosen)]
+
 
 def train(rows: list[tuple[list[str], list[str]]] | None = None) -> RandomField:
     rows = labelled_table() if rows is None else rows
@@ -315,10 +337,13 @@ def find_spans(texts: list[str], field: RandomField) -> list[tuple[list, list]]:
         base = base_spans(text)
         out.append((base, list(base)))
         for places in windows(text):
-            for at in range(0, len(places), 256):  # longer runs are cut here, so that one text cannot fill the memory
-                waiting.append((i, places[at:at + 256]))
-                if len(waiting) >= WINDOWS:
-                    decode()
+            if len(places) > PIECE:  # on its own, so that one text cannot fill the memory
+                labels = field.decode_run([text[a:b] for a, b in places], PIECE)
+                out[i][1].extend(added_spans(text, places, labels, base))
+                continue
+            waiting.append((i, places))
+            if len(waiting) >= WINDOWS:
+                decode()
     decode()
     return [(base, sorted(every)) for base, every in out]
 

@@ -72,3 +72,15 @@ def test_empty_table(empty):
 def test_long_run_of_signs(spark, field):
     text = "7 " * 20_000 + "a@b.cd"
     assert ps.private_data(spark.createDataFrame([document(1, text)], DOCS)).first().n_email == 1
+
+
+def test_spans_across_pieces_of_a_long_run(field):
+    values = ["(234) 555-1234", "(234) 555 1234", "jo (at) host (dot) org"]
+    for value, kind in zip(values, ("phone", "phone", "email"), strict=True):
+        for at in range(250, 261):
+            text = "row 7 " * (at // 2) + "row " * (at % 2) + value + " row 7" * 200
+            start = text.index(value)
+            (_, every), = ps.find_spans([text], field)
+            assert any(a <= start and start + len(value) <= b and ps.KINDS[k] == kind for a, b, k in every), (value, at)
+    words = [w for row, _ in ps.labelled_table(120, seed=7) for w in row]
+    assert len(words) > 512 and field.decode_run(words, 256) == field.decode_run(words, 7) == field.decode([words])[0]
