@@ -22,9 +22,13 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
+def crc(doc_id: Column) -> Column:
+    """Unsigned crc32 of the id as text; null ids count as the empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
-    """crc32 of the id as text, modulo; null ids count as the empty text."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
+    return crc(doc_id) % modulus
 
 
 def py_remainder(doc_id, modulus: int) -> int:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimsift.llm import benchmark_suffixes, entropy_mix, hidden_markov, host_suffixes, latent_neighbours, private_spans, simhash_tables, simhash_trie, toxic_segments, warc_segments
-from claimsift.llm.common import documents
+from claimsift.llm import (
+    benchmark_suffixes, entropy_mix, hidden_markov, host_suffixes, latent_neighbours, periodic_runs, private_spans,
+    simhash_tables, simhash_trie, toxic_segments, warc_segments,
+)
+from claimsift.llm.common import crc, documents
 
 
 def op1_benchmark_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +57,31 @@ def op10_latent_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latent_neighbours.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` whose texts repeat a stretch of words up to their end where ten divides the crc32 of the id."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    cut = docs.select("doc_id", "text", crc(F.col("doc_id")).alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, words))
+    cut = cut.withColumn("n", F.size("w")).withColumn("g", F.expr("h div 10"))
+    cut = cut.withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    period = F.expr("int(1 + (n - a) div (3 + g % 8))")
+    repeated = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, period), F.expr("int(ceil((n - a) / (1 + (n - a) div (3 + g % 8))))")))
+    planted = F.array_join(F.slice(F.concat(F.slice("w", F.lit(1), F.col("a")), repeated), F.lit(1), F.col("n")), " ")
+    return cut.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_periods(documents(spark, sf_dir)))
+    exact = F.reduce("runs", F.struct(*[F.lit(None).cast("bigint").alias(c) for c in ("start", "length", "period")]), lambda best, r: F.when(
+        # lengths and periods are numbers of words: the products stay far below 2^63
+        best["start"].isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.withColumn("best", exact).select(
+        "row.doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_benchmark_suffixes": op1_benchmark_suffixes,
     "op2_hidden_markov": op2_hidden_markov,
@@ -65,6 +93,7 @@ QUERIES = {
     "op8_simhash_trie": op8_simhash_trie,
     "op9_toxic_segments": op9_toxic_segments,
     "op10_latent_neighbours": op10_latent_neighbours,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLES = {
     "op1_benchmark_suffixes": r"""
