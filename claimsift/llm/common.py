@@ -5,8 +5,10 @@ from __future__ import annotations
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from claimsift.operators.numbering import ROW_BITS
 from claimsift.session import materialise
 
 #: Lower-cases A-Z and leaves every other byte as it is; ``bytes.split()`` then cuts at [\x20\x09-\x0D]+.
@@ -64,3 +66,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
     nodes = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return nodes.unionAll(roots) if state[0] else spark.createDataFrame([], "node long, component long")
+
+
+def number_within(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """Add ``pos`` (0, 1, ... inside each value of ``group``, in ``order``) and ``n`` (rows of the group).
+
+    ``group`` is not null.  Rows are dealt by ranges of (group, order) and written, so a group that
+    holds most rows is spread over tasks; offsets come from one row per group and task.  The order
+    may have ties only between rows that are equal in it.
+    """
+    place = F.monotonically_increasing_id()
+    placed = materialise(
+        df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+        .withColumn("_part", F.shiftright(place, ROW_BITS)).withColumn("_row", place.bitwiseAND(F.lit((1 << ROW_BITS) - 1))),
+        "placed",
+    )
+    sizes = placed.groupBy(group, "_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    parts = W.partitionBy(group).orderBy("_part")  # one row per task that has rows of the group
+    offsets = sizes.select(
+        group, "_part", (F.sum("_size").over(parts) - F.col("_size") - F.col("_first")).alias("_offset"),
+        F.sum("_size").over(W.partitionBy(group)).alias("n"))
+    offsets = materialise(offsets, "offsets")
+    return placed.join(offsets, [group, "_part"]).withColumn("pos", F.col("_row") + F.col("_offset")).drop("_part", "_row", "_offset", "_first")

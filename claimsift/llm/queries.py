@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimsift.llm import (
-    benchmark_suffixes, entropy_mix, hidden_markov, host_suffixes, latent_neighbours, periodic_runs, private_spans,
-    simhash_tables, simhash_trie, toxic_segments, warc_segments,
+    benchmark_suffixes, entropy_mix, hidden_markov, host_suffixes, latent_neighbours, merkle_manifest, periodic_runs,
+    private_spans, simhash_tables, simhash_trie, toxic_segments, warc_segments,
 )
 from claimsift.llm.common import crc, documents
 
@@ -82,6 +82,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(crc(F.col("doc_id")) % 7 == 0, merkle_manifest.leaf_hash(n_chars=F.col("n_chars") + 1))
+    checked = merkle_manifest.verify(merkle_manifest.manifest(documents(spark, sf_dir), tampered))
+    return checked.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.lower(F.hex("witness")), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_benchmark_suffixes": op1_benchmark_suffixes,
     "op2_hidden_markov": op2_hidden_markov,
@@ -94,6 +102,7 @@ QUERIES = {
     "op9_toxic_segments": op9_toxic_segments,
     "op10_latent_neighbours": op10_latent_neighbours,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 ORACLES = {
     "op1_benchmark_suffixes": r"""
@@ -165,4 +174,60 @@ ORACLES = {
             whole + CASE WHEN upto + size / 2 <= target - whole * source_size THEN 1 ELSE 0 END AS copies,
             (whole + CASE WHEN upto + size / 2 <= target - whole * source_size THEN 1 ELSE 0 END) * size AS taken
         FROM running JOIN rates ON running.source IS NOT DISTINCT FROM rates.source""",
+    "op12_merkle_manifest": """
+        WITH RECURSIVE
+        crcs AS (
+            SELECT list(v ORDER BY i) AS crcs FROM (
+                SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+                FROM range(256) AS r(i))),
+        marked AS (
+            SELECT doc_id, source, lang, n_chars, text, xor(4294967295, list_reduce(
+                [4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                lambda c, b: xor(c >> 8, crcs[1 + xor(c & 255, b)]))) % 7 = 0 AS tampered
+            FROM documents, crcs),
+        parts AS (
+            SELECT doc_id, lang, tampered, n_chars AS plain, n_chars + 1 AS more,
+                coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                    || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                coalesce(strlen(text) || ':' || text, '-') AS tail
+            FROM marked),
+        hashed AS (
+            SELECT doc_id, lang,
+                sha256(head || coalesce(strlen(CAST(plain AS VARCHAR)) || ':' || plain, '-') || tail) AS leaf,
+                CASE WHEN tampered THEN sha256(head || coalesce(strlen(CAST(more AS VARCHAR)) || ':' || more, '-') || tail) END AS shown
+            FROM parts),
+        leaves AS (
+            SELECT *, row_number() OVER () AS id,
+                row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+            FROM hashed),
+        nodes AS (
+            SELECT lang, 0 AS level, pos, n, leaf AS h FROM leaves
+            UNION ALL
+            SELECT lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+            FROM nodes WHERE n > 1 GROUP BY lang, level, pos // 2, n),
+        subroots AS (
+            SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+        tops AS (
+            SELECT 0 AS level, pos, n, subroot AS h FROM subroots
+            UNION ALL
+            SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 2, n),
+        below AS (
+            SELECT id, lang, 0 AS level, pos, n, coalesce(shown, leaf) AS h, '' AS proof FROM leaves
+            UNION ALL
+            SELECT b.id, b.lang, b.level + 1, b.pos // 2, (b.n + 1) // 2,
+                sha256(CASE WHEN s.h IS NULL THEN b.h WHEN b.pos % 2 = 1 THEN s.h || b.h ELSE b.h || s.h END), b.proof || coalesce(s.h, '')
+            FROM below AS b LEFT JOIN nodes AS s
+                ON s.lang IS NOT DISTINCT FROM b.lang AND s.level = b.level AND s.pos = xor(b.pos, 1)
+            WHERE b.n > 1),
+        above AS (
+            SELECT b.id, r.subroot, 0 AS level, r.pos, r.n, b.h, b.proof
+            FROM below AS b JOIN subroots AS r ON r.lang IS NOT DISTINCT FROM b.lang WHERE b.n = 1
+            UNION ALL
+            SELECT b.id, b.subroot, b.level + 1, b.pos // 2, (b.n + 1) // 2,
+                sha256(CASE WHEN s.h IS NULL THEN b.h WHEN b.pos % 2 = 1 THEN s.h || b.h ELSE b.h || s.h END), b.proof || coalesce(s.h, '')
+            FROM above AS b LEFT JOIN tops AS s ON s.level = b.level AND s.pos = xor(b.pos, 1)
+            WHERE b.n > 1)
+        SELECT l.doc_id, l.leaf, a.subroot, (SELECT h FROM tops WHERE n = 1) AS root, sha256(a.proof) AS proof_sha256,
+            a.h AS folded_root, a.h = (SELECT h FROM tops WHERE n = 1) AS verified
+        FROM above AS a JOIN leaves AS l USING (id) WHERE a.n = 1""",
 }
