@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimsift.llm import (
-    benchmark_suffixes, entropy_mix, hidden_markov, host_suffixes, latent_neighbours, merkle_manifest, periodic_runs,
-    private_spans, simhash_tables, simhash_trie, toxic_segments, warc_segments,
+    benchmark_suffixes, entropy_mix, hidden_markov, host_suffixes, label_sharding, latent_neighbours, merkle_manifest,
+    periodic_runs, private_spans, simhash_tables, simhash_trie, toxic_segments, warc_segments,
 )
 from claimsift.llm.common import crc, documents
 
@@ -90,6 +90,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_sharding.balanced_shards(documents(spark, sf_dir)).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     "op1_benchmark_suffixes": op1_benchmark_suffixes,
     "op2_hidden_markov": op2_hidden_markov,
@@ -103,6 +108,7 @@ QUERIES = {
     "op10_latent_neighbours": op10_latent_neighbours,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_label_sharding": op13_label_sharding,
 }
 ORACLES = {
     "op1_benchmark_suffixes": r"""
