@@ -15,7 +15,6 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +28,6 @@ RADIUS = 2  # bits in which linked fingerprints may differ
 LEAF = 4096  # fingerprints of a subtree that one task finishes
 STEP = 2  # trie levels that a crowded node is split by at a time
 BLOCK = 1 << 18  # node pairs expanded at a time inside a task
-SLICE = 512  # documents whose shingles are in memory at a time
-RANGES = 16  # leading bits of a shingle's hash by which shingles are counted
-NAMED = 1 << 17  # numbers of sets that are broadcast
 
 digest = partial(xxhash.xxh64_intdigest, seed=42)
 
@@ -150,27 +146,36 @@ def walk(left: np.ndarray, right: np.ndarray, same: bool, depth: int, differing:
 
 
 def finish(group: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """A spanning forest of the links between the two subtrees of one pair of nodes."""
+    """A spanning forest (a, b) of the links between the two subtrees of a pair of nodes, and (a, null, n): the copies ``a`` links to."""
     depth, a, b, differing = (int(group[c].iloc[0]) for c in ("depth", "a", "b", "differing"))
     value = group["value"].to_numpy(np.int64).view(np.uint64)
-    side = group["side"].to_numpy()
-    left = np.sort(value[side == 0])
-    right = left if a == b else np.sort(value[side == 1])
+    order = np.lexsort([value, group["side"].to_numpy()])
+    value, copies = value[order], group["n"].to_numpy(np.int64)[order]
+    middle = int((group["side"] == 0).sum())
+    left = value[:middle]
+    right = left if a == b else value[middle:]
     shift = 0 if a == b else len(left)
     forest = Forest(shift + len(right))
+    partners = np.zeros(len(value), np.int64)
     if len(left) and len(right):
         for i, j in walk(left, right, a == b, depth, differing, radius):
             forest.link(i, j + shift)
-    every = (left if a == b else np.concatenate([left, right])).view(np.int64)
-    linked = np.flatnonzero(forest.parent != np.arange(len(every)))
-    return pd.DataFrame({"a": every[linked], "b": every[forest.parent[linked]]})
+            np.add.at(partners, i, copies[j + shift])
+            np.add.at(partners, j + shift, copies[i])
+    every = value.view(np.int64)
+    linked, counted = np.flatnonzero(forest.parent != np.arange(len(every))), np.flatnonzero(partners)
+    return pd.DataFrame({
+        "a": np.concatenate([every[linked], every[counted]]),
+        "b": pd.array([*every[forest.parent[linked]], *[None] * len(counted)], "Int64"),
+        "n": pd.array([*[None] * len(linked), *partners[counted]], "Int64")})
 
 
-def links(values: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
-    """Links (a, b) that connect the distinct longs of ``values(value)`` wherever two differ in ``radius`` bits or fewer.
+def links(values: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that connect the distinct longs of ``values(value, n)`` wherever two differ in ``radius`` bits or fewer.
 
     The links returned span the same components as all such pairs; pairs inside a component that
-    others already connect need not appear.  Values are distinct and not null.
+    others already connect need not appear.  The second table has (value, n): how many rows, ``n`` for
+    each value, the value links to besides its own.  Values are distinct and not null.
     """
     spark = values.sparkSession
     total = values.count()
@@ -191,7 +196,7 @@ def links(values: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFram
         pairs = materialise(pairs, "trie-pairs")
         crowded = (F.col("na") + F.col("nb") > 2 * leaf) if depth < BITS else F.lit(False)
         ready = pairs.where(~crowded).select("a", "b", F.lit(depth).alias("depth"), "differing")
-        at = values.select("value", prefix(F.col("value"), depth).alias("at"))
+        at = values.select("value", "n", prefix(F.col("value"), depth).alias("at"))
         one = at.join(ready.withColumn("at", F.col("a")), "at").withColumn("side", F.lit(0))
         two = at.join(ready.where("a <> b").withColumn("at", F.col("b")), "at").withColumn("side", F.lit(1))
         part = one.unionByName(two).drop("at")
@@ -212,15 +217,19 @@ def links(values: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFram
             .where("a < b or ca <= cb")
             .select(F.col("ca").alias("a"), F.col("cb").alias("b"), "na", "nb", (F.col("differing") + F.col("bits")).cast("int").alias("differing"))
         )
-    found = dealt.groupBy("depth", "a", "b").applyInPandas(lambda group: finish(group, radius), "a long, b long")
-    return found.distinct() if total else spark.createDataFrame([], "a long, b long")
+    if not total:
+        return spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "value long, n long")
+    found = dealt.groupBy("depth", "a", "b").applyInPandas(lambda group: finish(group, radius), "a long, b long, n long")
+    found = materialise(found, "links")
+    partners = found.where("b is null").groupBy(F.col("a").alias("value")).agg(F.sum("n").alias("n"))
+    return found.where("b is not null").select("a", "b").distinct(), partners
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, leaf: int = LEAF, words: int = WORDS) -> DataFrame:
     """(doc_id, fingerprint long, component_id, n_links) for every row of ``docs``.
 
     component_id is the least doc_id reachable over links of ``radius`` bits or fewer, the row's own
-    included; n_links counts the rows of the component besides the row itself.  Null and blank
+    included; n_links counts the other rows within ``radius`` bits of the row itself.  Null and blank
     texts have fingerprint 0 and link like any other; repeated rows are rows of their own; a null
     doc_id is passed over in the minimum (null if the component has no other).  An empty table gives
     no rows; further columns of ``docs`` are ignored.
@@ -230,167 +239,30 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, leaf: int = LEAF, wor
         prints.groupBy(F.col("fingerprint").alias("value")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")),
         "distinct-fingerprints",
     )
-    groups = connected_components(links(values.select("value"), radius, leaf))
+    forest, partners = links(values.select("value", "n"), radius, leaf)
+    groups = connected_components(forest)
     placed = values.join(groups.withColumnRenamed("node", "value"), "value", "left").withColumn(
         "component", F.coalesce("component", "value"))
-    heads = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("n").alias("members"))
-    classes = placed.join(heads, "component").select(F.col("value").alias("fingerprint"), "component_id", "members")
-    return prints.join(classes, "fingerprint").select(
-        "doc_id", "fingerprint", "component_id", (F.col("members") - 1).alias("n_links"))
+    heads = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = placed.join(heads, "component").join(partners.withColumnRenamed("n", "others"), "value", "left").select(
+        F.col("value").alias("fingerprint"), "component_id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return prints.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id", "n_links")
 
 
 def hexadecimal(value: Column) -> Column:
     return F.lpad(F.lower(F.hex(value)), 16, "0")
 
 
-def content_hashes(data: bytes, words: int) -> tuple[int, int, np.ndarray]:
-    """(number of the set of shingles, fingerprint, the set as sorted hashes) of a text."""
-    hashes = shingle_hashes(data, words)
-    own = np.unique(hashes)
-    return int(np.array(digest(own.tobytes()), np.uint64).view(np.int64)), majority(hashes), own.view(np.int64)
-
-
-def prefix_length(n: np.ndarray, similarity: float) -> np.ndarray:
-    """How many first members, in any order common to all sets, hold one that is shared with every similar set."""
-    return np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
-
-
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, value, fingerprint, n, hashes) for every row; equal sets of shingles have one ``value`` (64 bits)."""
-    key = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                made = [content_hashes(data.as_py(), words) for data in part.column("data")]
-                ends = np.cumsum([0, *(len(h) for *_, h in made)])
-                hashes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([h for *_, h in made]), pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), *(pa.array([m[k] for m in made], pa.int64()) for k in (0, 1)), pa.array(np.diff(ends), pa.int64()), hashes],
-                    names=["key", "value", "fingerprint", "n", "hashes"])
-
-    rows = docs.select(F.struct("doc_id").alias("key"), text_bytes().alias("data"))
-    made = rows.mapInArrow(run, f"key struct<doc_id:{key}>, value long, fingerprint long, n long, hashes array<long>")
-    return made.select("key.doc_id", "value", "fingerprint", "n", "hashes")
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Parts of batches with the members of their sets, one after the other, and the row of each."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            part = batch.slice(at, SLICE)
-            lists = part.column("hashes")
-            sizes = np.diff(lists.offsets.to_numpy())
-            yield part, lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(sizes)), sizes)
-
-
-def first_members(sets: DataFrame, similarity: float) -> DataFrame:
-    """(hash, value, n): of each set the members, rare ones first, of which similar sets share one at least.
-
-    The order is that of counts per range of hashes, then of the hash; the counts steer cost, not the result.
-    """
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << RANGES, np.int64)
-        for _, members, _ in _slices(batches):
-            np.add.at(seen, (members >> np.uint64(64 - RANGES)).astype(np.int64), 1)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["at", "n"])
-
-    counts = sets.select("hashes").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    common = np.zeros(1 << RANGES, np.int64)  # at most 2^RANGES numbers, whatever the input
-    common[counts["at"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    shared = sets.sparkSession.sparkContext.broadcast(common)
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, members, row in _slices(batches):
-            n = part.column("n").to_numpy()
-            order = np.lexsort([members, shared.value[(members >> np.uint64(64 - RANGES)).astype(np.int64)], row])
-            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            pick = place < prefix_length(n, similarity)[row]
-            at = row[pick]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(members[order][pick].view(np.int64)), pa.array(part.column("value").to_numpy()[at]), pa.array(n[at])], names=["hash", "value", "n"])
-
-    return sets.select("value", "n", "hashes").mapInArrow(first, "hash long, value long, n long").distinct()
-
-
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets have a Jaccard similarity of ``similarity`` or more, written."""
-    pairs = materialise(pairs.distinct(), "candidates")
-    wanted = materialise(pairs.select(F.col("a").alias("value")).unionAll(pairs.select(F.col("b").alias("value"))).distinct(), "candidate-sets")
-    if wanted.count() <= NAMED:
-        wanted = F.broadcast(wanted)
-    sets = sets.select("value", "hashes").join(wanted, "value", "left_semi")
-    sets = materialise(sets.groupBy("value").agg(F.first("hashes").alias("hashes")), "compared-sets")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = []
-            for one, two in zip(batch.column("one"), batch.column("two"), strict=True):
-                x, y = one.values.to_numpy(), two.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both + 1e-9 >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    both = pairs.join(sets.select(F.col("value").alias("a"), F.col("hashes").alias("one")), "a").join(
-        sets.select(F.col("value").alias("b"), F.col("hashes").alias("two")), "b")
-    return materialise(both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long"), "similar")
-
-
-def similar_documents(docs: DataFrame, similarity: float, words: int, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
-    """(doc_id, value, component, component_id) for every row: connected over every pair of similar sets of shingles.
-
-    Similar is an exact Jaccard similarity of ``similarity`` or more.  First the trie links the
-    fingerprints within ``radius`` bits.  Similar sets lie further apart than a trie can reach (ten of
-    64 bits at 0.8), so sets that share one of their first members are compared as well, unless
-    links found already connect them: first each with the least one, then the rest in pairs.
-    """
-    sets = materialise(shingle_sets(docs, words), "shingle-sets")
-    values = materialise(sets.groupBy("value").agg(F.min("fingerprint").alias("print"), F.min("doc_id").alias("least")), "contents")
-    heads = values.groupBy("print").agg(F.min("value").alias("head"))
-    trie = links(heads.select(F.col("print").alias("value")), radius, leaf)
-    ends = heads.select(F.col("print").alias("b"), F.col("head").alias("hb"))
-    trie = trie.join(heads.select(F.col("print").alias("a"), F.col("head").alias("ha")), "a").join(ends, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
-    equal = values.join(heads, "print").where("value <> head").select(F.col("value").alias("a"), F.col("head").alias("b"))
-    found = similar_pairs(trie.unionAll(equal), sets, similarity)
-    groups = materialise(connected_components(found), "components")
-
-    first = first_members(sets, similarity)
-    first = materialise(first, "first-members")
-    several = first.groupBy("hash").agg(F.min("value").alias("head"), F.min_by("n", "value").alias("n_head"), F.max("value").alias("last")).where("head <> last").drop("last")
-    first = materialise(first.join(several, "hash"), "shared-members")
-    of = lambda name, component: groups.select(F.col("node").alias(name), F.col("component").alias(component))
-    close = lambda n, m: F.least(n, m) + 1e-9 >= similarity * F.greatest(n, m)  # noqa: E731 (sizes of sets that may be similar)
-    stars = first.where("value <> head").where(close("n", "n_head")).select(F.col("value").alias("a"), F.col("head").alias("b")).distinct()
-    stars = stars.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    found = found.unionAll(similar_pairs(stars, sets, similarity))
-    groups = materialise(connected_components(found), "components")
-
-    placed = first.join(of("value", "component"), "value", "left").select("hash", "value", "n", F.coalesce("component", "value").alias("component"))
-    one, two = (placed.select("hash", *(F.col(c).alias(c + end) for c in ("value", "n", "component"))) for end in ("_a", "_b"))
-    rest = one.join(two, "hash").where("component_a < component_b").where(close("n_a", "n_b"))
-    found = found.unionAll(similar_pairs(rest.select(F.col("value_a").alias("a"), F.col("value_b").alias("b")), sets, similarity))
-    groups = connected_components(found)
-    placed = values.join(groups.withColumnRenamed("node", "value"), "value", "left").withColumn("component", F.coalesce("component", "value"))
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    return sets.select("doc_id", "value").join(placed.join(least, "component").select("value", "component", "component_id"), "value")
-
-
-def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, similarity: float | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the least doc_id stays.
 
-    Documents are linked by fingerprints of ``words``-word shingles within ``radius`` bits or, with a
-    ``similarity``, by that Jaccard similarity of their sets of shingles.  Rows that repeat the
-    least doc_id are one document and leave one row.  A row without doc_id stays only if no row of
-    its component has one, one row per component.
+    Documents are linked by fingerprints of ``words``-word shingles within ``radius`` bits.  Rows that
+    repeat the least doc_id are one document and leave one row.  A row without doc_id stays only if
+    no row of its component has one, one row per component.  Null and blank texts are one component; an empty
+    table stays empty; columns of any name pass through.
     """
     columns = docs.columns
-    if similarity is None:
-        found = near_duplicates(docs, radius, words=words).withColumnRenamed("fingerprint", "value")
-    else:
-        found = similar_documents(docs, similarity, words, radius)
-    found = materialise(found, "near-duplicates")
+    found = materialise(near_duplicates(docs, radius, words=words).withColumnRenamed("fingerprint", "value"), "near-duplicates")
     losers = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
     repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     kept = docs.where("doc_id is not null").join(losers, "doc_id", "left_anti").select(*columns)
@@ -401,23 +273,17 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, similari
     nameless = docs.where("doc_id is null")
     if nameless.isEmpty():
         return kept
-    headless = found.where("doc_id is null and component_id is null")
-    if similarity is None:
-        headless = headless.select("value").distinct()
-        groups = connected_components(links(headless, radius)).withColumnRenamed("node", "value")
-        headless = headless.join(groups, "value", "left").withColumn("component", F.coalesce("component", "value"))
-    else:
-        headless = headless.select("value", "component").distinct()
-    marked = nameless.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), _value_column(words, similarity is not None).alias("value"))
+    headless = found.where("doc_id is null and component_id is null").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    groups = connected_components(links(headless, radius)[0]).withColumnRenamed("node", "value")
+    headless = headless.join(groups, "value", "left").withColumn("component", F.coalesce("component", "value"))
+    marked = nameless.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), _value_column(words).alias("value"))
     last = marked.join(headless, "value").dropDuplicates(["component"])
     return kept.unionByName(last.select("row.*"))
 
 
-def _value_column(words: int, of_set: bool) -> Column:
-    value = (lambda data: content_hashes(data, words)[0]) if of_set else partial(fingerprint, words=words)
-
+def _value_column(words: int) -> Column:
     @F.pandas_udf("long")
     def of(data: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter(map(value, data), np.int64, len(data)))
+        return pd.Series(np.fromiter((fingerprint(x, words) for x in data), np.int64, len(data)))
 
     return of(text_bytes())
