@@ -19,8 +19,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
-    return simhash_trie.keep_one(docs, words=5, similarity=0.8)
+    """One document of each group of near-duplicates: SimHash of three-word shingles, at most two bits apart."""
+    return simhash_trie.keep_one(docs, radius=simhash_trie.RADIUS, words=simhash_trie.WORDS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
