@@ -1,7 +1,11 @@
 import hashlib
 import random
+import re
+import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from claimsift.llm import private_spans as ps
 from tests.llm.conftest import DOCS, document, rows_of
@@ -19,6 +23,46 @@ def test_base_spans():
     # A match that fails is dropped whole: the first phone number runs on to more than 15 digits.
 
 
+# The patterns of the contract, searched as they stand.
+PATTERNS = [
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def naive_spans(text):
+    """Every pattern searched from left to right, and the checks of each kind in the plainest form."""
+    found = []
+    for kind, pattern in enumerate(PATTERNS):
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m.group() if c in "0123456789"]
+            doubled = [d if k % 2 == 0 else sum(map(int, str(2 * d))) for k, d in enumerate(reversed(digits))]
+            fits = [
+                True, kind == 1 and all(int(p) <= 255 for p in m.group().split(".")),
+                14 <= len(digits) <= 19 and sum(doubled) % 10 == 0, 10 <= len(digits) <= 15][kind]
+            if fits:
+                found.append((m.start(), m.end(), kind))
+    return sorted(found, key=lambda s: (s[0], s[2]))
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.one_of(
+    st.text("0123.@-+ a_()é", max_size=40), st.text("01. ", max_size=40), st.text("a.@-", max_size=30), st.text("4 -0", max_size=60),
+    st.lists(st.sampled_from(["1.2.3.4", "10.0.0.255", "256.1.1.1", "00000255.1.2.3", ".", "a@b.c", "@", "x-y.z", "4111 1111-1111 1111", "+49 30 1234567", "+", "5", " ", "٣", "é"]), max_size=9).map("".join)))
+def test_base_spans_equal_a_naive_search(text):
+    assert sorted(ps.base_spans(text), key=lambda s: (s[0], s[2])) == naive_spans(text)
+
+
+@pytest.mark.parametrize("text", [
+    "7" * 1_000_000, "a" * 1_000_000 + "@", "a" * 500_000 + "@" + "b" * 500_000, "0" * 5000 + ".1.2.3", "1." * 500_000, "@" * 1_000_000,
+    "1.2.3." + "9" * 1_000_000 + ".x", "+1" + " ." * 400_000, "a.b@" * 250_000, "1 " * 500_000, "9.9.9.9 " * 100_000], ids=lambda t: t[:9])
+def test_long_runs_take_linear_time(text):
+    start = time.perf_counter()
+    found = ps.base_spans(text)
+    assert ps.redact(text, found).count("<") == len(found)
+    assert time.perf_counter() - start < 2
+    assert (len(found) == 1) == (text[:5] == "00000")
+
+
 def test_random_field_on_rows_it_has_not_seen(field):
     rows = ps.labelled_table(300, seed=99)
     decoded = field.decode([words for words, _ in rows])
@@ -56,9 +100,9 @@ def test_query_and_redaction(odd, odd_rows):
     got = ps.private_data(odd)
     want = []
     for r in odd_rows:
-        base = ps.base_spans(r[1] or "")
-        want.append((r[0], sum(k == 0 for *_, k in base), sum(k == 3 for *_, k in base), hashlib.sha256(ps.joined(base).encode()).hexdigest()))
-    assert rows_of(got, "doc_id", "n_email", "n_phone", "base_sha256") == sorted(want, key=lambda r: tuple((v is None, str(v)) for v in r))
+        base = naive_spans(r[1] or "")
+        want.append((r[0], *(sum(k == kind for *_, k in base) for kind in range(4)), hashlib.sha256(ps.joined(base).encode()).hexdigest()))
+    assert rows_of(got, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == sorted(want, key=lambda r: tuple((v is None, str(v)) for v in r))
     clean = ps.redacted(odd)
     assert clean.columns == odd.columns
     by = {r.doc_id: r for r in clean.collect()}
