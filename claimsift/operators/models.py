@@ -2,34 +2,38 @@
 
 Multinomial logistic regression, multinomial naive Bayes and one-vs-rest logistic regression all score
 a claim by ``intercept[k] + sum(weight x coefficient[k])``.  A fitted model is therefore one table with
-a row per vocabulary term and an array of K coefficients.  Scoring brings that table, bounded by the
-vocabulary, to the row as one array: no join, no shuffle, and a claim that occurs twice is scored twice.
+a row per vocabulary term and an array of K coefficients.  Scoring sends that table, bounded by the
+vocabulary, to the tasks as one matrix: no join, no shuffle, and a claim that occurs twice is scored twice.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimsift.fixed_values import LINEAR_ALPHA, LOGISTIC_C, MASKS_TRAINING, MAX_ITERATIONS, NB_ALPHA
+from claimsift.operators.blocks import Rows, list_column
 from claimsift.operators.features import (
     count_arrays, encode_labels, fit_label_encoder, fit_vocabulary, idf_smooth, long_form, term_counter, weight_arrays,
     with_terms, write_features,
 )
 from claimsift.operators.metrics import accuracy, confusion_counts, per_class_report, weighted_average
+from claimsift.operators.stochastic import Descent, descend
 from claimsift.session import materialise
 
 BROADCAST_BYTES = 256 * 1024 * 1024
 MOST_CLASSES = 10_000
-TOLERANCE = 1e-4  # relative gain of the mean loss below which a solver stops
+TOLERANCE = 1e-6  # relative gain of the mean loss below which a solver stops: the default of the ML library
 
 
 @dataclass
@@ -64,6 +68,21 @@ class LinearTextModel:
     link: str  # softmax | one_vs_rest
     facts: dict = field(default_factory=dict)
 
+    @cached_property
+    def matrix(self) -> np.ndarray:
+        """Terms x classes.  Every term of the vocabulary must have its row; at most BROADCAST_BYTES."""
+        k, terms = len(self.labels), len(self.vectoriser.vocabulary)
+        if terms * k * 8 > BROADCAST_BYTES:
+            raise ValueError(f"{terms} terms and {k} classes are more than a row can be scored with ({BROADCAST_BYTES} bytes)")
+        rows = self.coefficients.select("idx", "coef").limit(terms + 1).toArrow().combine_chunks()
+        place = rows.column("idx").to_numpy()
+        if len(place) != terms or not np.array_equal(np.sort(place), np.arange(terms)):
+            raise ValueError("coefficients and vocabulary differ")
+        matrix = np.zeros((terms, k))
+        if terms:
+            matrix[place] = rows.column("coef").combine_chunks().flatten().to_numpy().reshape(terms, k)
+        return matrix
+
 
 def fit_vectoriser(
     train: DataFrame, size: int, stop_words: Sequence[str], masks: Sequence[str] = tuple(MASKS_TRAINING),
@@ -116,8 +135,8 @@ def train_naive_bayes(
 
 def _coefficient_table(spark: SparkSession, matrix: np.ndarray) -> DataFrame:
     """One row per vocabulary term; the matrix comes from the solver, which holds it on the driver anyway."""
-    rows = list(enumerate(matrix.T.tolist()))
-    return materialise(spark.createDataFrame(rows, "idx int, coef array<double>"), "coefficients")
+    rows = pa.table({"idx": pa.array(np.arange(matrix.shape[1]), pa.int32()), "coef": list_column(np.ascontiguousarray(matrix.T))})
+    return materialise(spark.createDataFrame(rows), "coefficients")
 
 
 def train_logistic(
@@ -137,11 +156,22 @@ def train_logistic(
     )
 
 
+def train_linear_sgd(
+    vectors: DataFrame, vectoriser: Vectoriser, labels: Sequence[str], alpha: float = LINEAR_ALPHA, **how: float,
+) -> LinearTextModel:
+    """One binary logistic model per class by stochastic gradient descent; ``how`` changes parts of ``Descent``."""
+    state, losses = descend(vectors, len(vectoriser.vocabulary), len(labels), Descent(alpha, **how))
+    return LinearTextModel(
+        "Linear SVM (SGD)", vectoriser, list(labels), state.bias.tolist(),
+        _coefficient_table(vectors.sparkSession, state.weights.T), "one_vs_rest", {"losses": losses},
+    )
+
+
 def train_linear_ovr(
     vectors: DataFrame, vectoriser: Vectoriser, labels: Sequence[str], alpha: float = LINEAR_ALPHA,
     max_iter: int = MAX_ITERATIONS, hinge: bool = False, parallelism: int = 4,
 ) -> LinearTextModel:
-    """One binary model per class: logistic loss, or the hinge of a linear SVM."""
+    """One binary model per class at its optimum, by full gradients: logistic loss, or the hinge of a linear SVM."""
     base = (
         LinearSVC(regParam=alpha, standardization=False, maxIter=max_iter, tol=TOLERANCE) if hinge
         else LogisticRegression(family="binomial", regParam=alpha, standardization=False, maxIter=max_iter, tol=TOLERANCE)
@@ -154,46 +184,33 @@ def train_linear_ovr(
     )
 
 
-def coefficient_array(model: LinearTextModel) -> Column:
-    """All coefficients as one value: entry ``idx * K + k``.  Every term of the vocabulary must have its row."""
-    k, terms = len(model.labels), len(model.vectoriser.vocabulary)
-    if terms * k * 8 > BROADCAST_BYTES:
-        raise ValueError(f"{terms} terms and {k} classes are more than a row can be scored with ({BROADCAST_BYTES} bytes)")
-    ordered = F.array_sort(F.collect_list(F.struct("idx", "coef")))
-    whole = (F.count(F.lit(1)) == terms) & (F.coalesce(F.max("idx"), F.lit(-1)) == terms - 1)
-    flat = F.when(whole, F.flatten(F.transform(ordered, lambda s: s["coef"])))
-    return model.coefficients.agg(F.coalesce(flat, F.raise_error(F.lit("coefficients and vocabulary differ")).cast("array<double>"))).scalar()
-
-
 def score(features: DataFrame, model: LinearTextModel, *keep: str) -> DataFrame:
     """Add ``scores``, ``probabilities``, ``class_index`` and ``predicted`` to the ``keep`` columns.
 
-    Every row is scored by itself.  A claim without any known term gets the intercepts.  Equal scores
-    (to nine decimals) go to the first class.
+    Every row is scored by itself: blocks of sparse rows times the matrix of coefficients, which is sent
+    to the tasks once.  A claim without any known term gets the intercepts.  Equal scores (to nine
+    decimals) go to the first class.
     """
-    k = len(model.labels)
-    intercepts = F.array(*[F.lit(float(b)) for b in model.intercepts])
-    pairs = F.arrays_zip(F.coalesce("indices", F.array().cast("array<int>")), F.coalesce("weights", F.array().cast("array<double>")))
-    weighed = F.transform(intercepts, lambda b, c: F.aggregate(
-        "_pairs", b, lambda total, e: total + e["weights"] * F.get(F.col("_coef"), e["indices"] * k + c)))
-    summed = (
-        features.select(*keep, pairs.cast("array<struct<indices:int,weights:double>>").alias("_pairs"))
-        .withColumn("_coef", coefficient_array(model)).select(*keep, weighed.alias("scores"))
-    )
-    ranked = F.transform("scores", lambda s, i: F.struct(F.round(s, 9).alias("s"), (-i).alias("minus_index")))
-    if model.link == "softmax":
-        shifted = F.transform("scores", lambda s: F.exp(s - F.array_max("scores")))
-    else:
-        shifted = F.transform("scores", lambda s: F.lit(1.0) / (F.lit(1.0) + F.exp(-s)))
-    total = F.aggregate("_p", F.lit(0.0), lambda acc, p: acc + p)
-    names = F.array(*[F.lit(name) for name in model.labels])
-    return (
-        summed.withColumn("_p", shifted)
-        .withColumn("probabilities", F.zip_with("_p", F.array_repeat(total, k), lambda p, t: p / t))
-        .withColumn("class_index", -F.array_max(ranked)["minus_index"])
-        .withColumn("predicted", F.get(names, F.col("class_index")))
-        .drop("_p")
-    )
+    softmax, names = model.link == "softmax", np.array(model.labels, object)
+    shared = features.sparkSession.sparkContext.broadcast((model.matrix, np.array(model.intercepts)))
+    rows = features.select(
+        *keep, F.coalesce("indices", F.array()).cast("array<int>").alias("_indices"),
+        F.coalesce("weights", F.array()).cast("array<double>").alias("_weights"))
+    kept = len(rows.columns) - 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, intercepts = shared.value
+        for batch in batches:
+            scores = Rows(batch).times(matrix) + intercepts
+            chance = np.exp(scores - scores.max(axis=1, keepdims=True)) if softmax else 1.0 / (1.0 + np.exp(-scores))
+            best = np.round(scores, 9).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:kept], list_column(scores), list_column(chance / chance.sum(axis=1, keepdims=True)),
+                 pa.array(best, pa.int32()), pa.array(names[best], pa.string())],
+                names=[*batch.schema.names[:kept], "scores", "probabilities", "class_index", "predicted"])
+
+    added = T.StructType.fromDDL("scores array<double>, probabilities array<double>, class_index int, predicted string")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:kept], *added.fields]))
 
 
 def predict(df: DataFrame, model: LinearTextModel, *keep: str, text: str = "claim") -> DataFrame:
@@ -229,12 +246,24 @@ def gradient_norms(train: DataFrame, model: LinearTextModel, penalty: float, lab
     return norms.select(F.explode(F.array(*[f"n{c}" for c in range(k)])).alias("x")).select("x.*")
 
 
+def log_losses(rows: DataFrame, model: LinearTextModel, label: str = "tag_clean") -> DataFrame:
+    """(label, loss): the mean log loss of each class's own sigmoid."""
+    scored = score(rows, model, label)
+    cells = scored.select(label, F.posexplode("scores").alias("k", "s"))
+    names = F.array(*[F.lit(name) for name in model.labels])
+    signed = F.when(F.get(names, F.col("k")) == F.col(label), -F.col("s")).otherwise(F.col("s"))
+    loss = F.greatest(signed, F.lit(0.0)) + F.log1p(F.exp(-F.abs(signed)))
+    return cells.groupBy(F.get(names, F.col("k")).alias("label")).agg(F.avg(loss).alias("loss"))
+
+
 def batch_latency(df: DataFrame, run: Callable[[DataFrame], DataFrame]) -> dict:
-    """Time an action that consumes every result of ``run``; milliseconds per row."""
-    rows = df.count()
+    """Time one action that consumes every result of ``run``, and counts the rows on its way; milliseconds per row."""
+    seen = Observation()
+    made = run(df.observe(seen, F.count(F.lit(1)).alias("rows")))
     start = time.perf_counter()
-    run(df).write.format("noop").mode("overwrite").save()
+    made.write.format("noop").mode("overwrite").save()
     seconds = time.perf_counter() - start
+    rows = seen.get["rows"]
     return {"n_rows": rows, "seconds": seconds, "ms_per_claim": seconds / max(rows, 1) * 1000}
 
 
@@ -284,7 +313,7 @@ def train_all(table: TrainingTable) -> list[LinearTextModel]:
         for fit in (
             lambda: train_logistic(train_vectors, table.vectoriser, table.labels),
             lambda: train_naive_bayes(train_arrays, table.vectoriser, table.labels),
-            lambda: train_linear_ovr(train_vectors, table.vectoriser, table.labels),
+            lambda: train_linear_sgd(train_vectors, table.vectoriser, table.labels),
         ):
             start = time.perf_counter()
             model = fit()
@@ -296,16 +325,17 @@ def train_all(table: TrainingTable) -> list[LinearTextModel]:
 
 
 def compare_models(table: TrainingTable, models: Sequence[LinearTextModel] | None = None) -> DataFrame:
-    """One row per model: accuracy and weighted F1 on sample and full test, seconds, ms per claim.
+    """One row per model: accuracy and weighted F1 on sample and full test, seconds, ms per claim of the test side.
 
-    Rows are scored once per model; the sample is a subset of the test side.
+    Rows are scored once per model for the counts; the sample is a subset of the test side.
     """
     spark = table.arrays.sparkSession
     models = list(models) if models is not None else train_all(table)
     test = table.arrays.where("split = 'test'")
     scored, facts = None, []
     for order, model in enumerate(models):
-        timing = batch_latency(test.where("in_sample"), lambda df, m=model: score(df, m, "claim_id"))
+        model.matrix  # loaded before the clock starts, as the features are
+        timing = batch_latency(test, lambda df, m=model: score(df, m, "claim_id"))
         facts.append((order, model.name, float(model.facts.get("train_s", 0.0)), timing["ms_per_claim"]))
         part = score(test, model, "claim_id", "tag_clean", "in_sample").select(
             F.lit(model.name).alias("model"), F.col("tag_clean").alias("y_true"), F.col("predicted").alias("y_pred"),
