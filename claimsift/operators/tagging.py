@@ -123,9 +123,13 @@ def auto_tag_ml(requests: DataFrame, claims: DataFrame, model: LinearTextModel)
 def auto_tag_external(
     requests: DataFrame, claims: DataFrame, answers: DataFrame, allowed: Sequence[str] = ALLOWED_TAGS
 ) -> DataFrame:
-    """Requests to (status, raw answer, tag) from a table of external answers (claim_id, prediction_raw)."""
+    """Requests to (status, raw answer, tag) from a table of external answers (claim_id, prediction_raw).
+
+    Of several answers for a claim the one that comes first in the order of texts counts: answers have no time.
+    """
     asked = _requested(requests, claims).select("claim_id")
     known = answers.select("claim_id", F.coalesce(web_trim("prediction_raw"), F.lit("")).alias("prediction_raw"))
+    known = known.join(asked, "claim_id", "left_semi").groupBy("claim_id").agg(F.min("prediction_raw").alias("prediction_raw"))
     answered = asked.join(known, "claim_id", "left").select(
         "claim_id", "prediction_raw",
         F.when(F.col("prediction_raw").isNull(), "no_answer").otherwise("tagged").alias("status"),
@@ -140,7 +144,7 @@ def prompts(requests: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def apply_results(claims: DataFrame, results: DataFrame) -> DataFrame:
-    """Write the tags of an automatic run into the table of claims; one result per claim is enough."""
-    tags = results.where("status = 'tagged'").groupBy("claim_id").agg(F.first("tag").alias("new_tag"))
+    """Write the tags of an automatic run into the table of claims; all results of a claim are alike."""
+    tags = results.where("status = 'tagged'").groupBy("claim_id").agg(F.min("tag").alias("new_tag"))
     joined = claims.join(tags.withColumnRenamed("claim_id", "id"), "id", "left")
     return joined.withColumn("tag", F.coalesce("new_tag", "tag")).drop("new_tag")

@@ -13,7 +13,7 @@ from claimsift.plans.tables import (
     words_sql,
 )
 from claimsift.session import new_path
-from claimsift.sources.claims_table import append_claims, read_claims_table, replace_claims, reset_claims
+from claimsift.sources.claims_table import append_claims, change_tags, read_claims_table, replace_claims, reset_claims
 from claimsift.streaming import auto_tag
 
 INBOX = "src5"
@@ -94,11 +94,11 @@ def apply_tags(spark, sf):
 
 
 def apply_tags_stored(spark, sf):
-    """The table is stored, read, changed and stored again as a new version."""
+    """The table is stored, and the buckets of the changed claims are stored again."""
     path = new_path(spark, "claims")
     replace_claims(_claims(spark, sf), path)
-    changed = tagging.apply_tags(read_claims_table(spark, path), tagging.manual_changes(_events(spark, sf)))
-    return _shown(replace_claims(changed, path))
+    changes = tagging.latest_changes(tagging.manual_changes(_events(spark, sf)), "tag")
+    return _shown(change_tags(changes.withColumnRenamed("claim_id", "id"), path))
 
 
 def claim_by_id(spark, sf):

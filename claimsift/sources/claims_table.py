@@ -1,8 +1,15 @@
-"""The application's table of claims: id, content, tag; kept as versions with a log of which is current."""
+"""The application's table of claims: id, content, tag; rows lie in buckets by id, a log tells which files are current.
+
+Every line of the log is a whole state: the folders that hold the rows of each bucket, and the ids that
+insertions have reserved.  A change writes new folders for the buckets it touches and then one line;
+a job that fails leaves the state before, and a reader sees one state or the other.  There is one
+writer at a time.
+"""
 
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,37 +18,89 @@ from pyspark.sql import functions as F
 from claimsift.operators.numbering import number_rows
 from claimsift.schemas import CLAIMS
 
+BUCKETS = 32
+LOG = "n long, buckets int, files array<struct<bucket:int,folder:string>>, reserved array<struct<batch:string,first:long,rows:long>>"
+
+
+@dataclass(frozen=True)
+class State:
+    """What one line of the log says."""
+
+    n: int = 0
+    buckets: int = BUCKETS
+    files: list = field(default_factory=list)  # (bucket, folder)
+    reserved: list = field(default_factory=list)  # (batch, first id, rows)
+
+
+def _state(spark: SparkSession, path: str) -> State:
+    try:
+        last = spark.read.schema(LOG).json(f"{path}/log").orderBy(F.desc("n")).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return State()
+    return State(last["n"], last["buckets"], [tuple(f) for f in last["files"]], [tuple(r) for r in last["reserved"]])
+
+
+def _commit(spark: SparkSession, path: str, state: State) -> None:
+    row = (state.n + 1, state.buckets, state.files, state.reserved)
+    spark.createDataFrame([row], LOG).coalesce(1).write.mode("append").json(f"{path}/log")
+
+
+def _bucket(state: State, claim_id: str = "id") -> Column:
+    return F.pmod(F.xxhash64(F.col(claim_id).cast("bigint")), F.lit(state.buckets)).cast("int")
 
-LOG = "n long, version string"
 
+def _write(claims: DataFrame, path: str, state: State) -> list[tuple[int, str]]:
+    """Store rows in a new folder, by bucket; returns the buckets that have any."""
+    spark, folder = claims.sparkSession, f"version-{uuid.uuid4().hex}"
+    rows = claims.select(*CLAIMS.names).withColumn("bucket", _bucket(state))
+    rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/{folder}")
+    written = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
+    names = [s.getPath().getName() for s in written.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(written)]
+    return [(int(name.removeprefix("bucket=")), folder) for name in names if name.startswith("bucket=")]
 
-def _current(spark: SparkSession, path: str) -> tuple[int, str]:
-    """Number and folder of the newest version."""
-    last = spark.read.schema(LOG).json(f"{path}/log").orderBy(F.desc("n")).first()
-    return last["n"], f"{path}/{last['version']}"
+
+def _read(spark: SparkSession, path: str, files: list[tuple[int, str]]) -> DataFrame:
+    if not files:
+        return spark.createDataFrame([], CLAIMS)
+    return spark.read.schema(CLAIMS).parquet(*[f"{path}/{folder}/bucket={bucket}" for bucket, folder in sorted(files)])
 
 
 def read_claims_table(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of the table."""
-    return spark.read.schema(CLAIMS).option("recursiveFileLookup", "true").parquet(_current(spark, path)[1])
+    """The newest state of the table."""
+    return _read(spark, path, _state(spark, path).files)
+
+
+def read_claims_of(ids: DataFrame, path: str) -> DataFrame:
+    """The rows of the buckets that hold the ``id`` column of ``ids``; other buckets are not read."""
+    spark = ids.sparkSession
+    state = _state(spark, path)
+    touched = {r[0] for r in ids.select(_bucket(state)).distinct().collect()}  # at most as many as buckets
+    return _read(spark, path, [f for f in state.files if f[0] in touched])
 
 
 def replace_claims(claims: DataFrame, path: str) -> DataFrame:
-    """Store a new state of the whole table, which may be computed from the one before.
+    """Store a new state of the whole table, which may be computed from the one before."""
+    spark = claims.sparkSession
+    state = _state(spark, path)
+    _commit(spark, path, replace(state, files=_write(claims, path, state)))
+    return read_claims_table(spark, path)
+
+
+def change_tags(changes: DataFrame, path: str) -> DataFrame:
+    """Set the tags of ``changes(id, tag)``, one row per id; unknown ids change nothing, a null tag clears.
 
-    It is written to a folder of its own; a line in the log, written last, makes it the current one.
-    A job that fails leaves the old state, a reader sees one state or the other.
+    Only the buckets of these ids are read and written again.
     """
-    spark = claims.sparkSession
-    version = f"version-{uuid.uuid4().hex}"
-    claims.select(*CLAIMS.names).write.parquet(f"{path}/{version}/batch=0")
-    try:
-        n = _current(spark, path)[0] + 1
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        n = 1
-    spark.createDataFrame([(n, version)], LOG).coalesce(1).write.mode("append").json(f"{path}/log")
+    spark = changes.sparkSession
+    state = _state(spark, path)
+    new = changes.select("id", F.col("tag").alias("new_tag"), F.lit(True).alias("changed"))
+    rows = read_claims_of(changes, path).join(new, "id", "left")
+    rows = rows.withColumn("tag", F.when(F.col("changed"), F.col("new_tag")).otherwise(F.col("tag")))
+    written = _write(rows, path, state)
+    done = {bucket for bucket, _ in written}
+    _commit(spark, path, replace(state, files=[f for f in state.files if f[0] not in done] + written))
     return read_claims_table(spark, path)
 
 
@@ -65,19 +124,32 @@ def _numbered(records: DataFrame, order: list[str], start: int) -> DataFrame:
 
 
 def reset_claims(records: DataFrame, path: str, order: list[str]) -> DataFrame:
-    """Replace the table: ids 1..n in the given order; missing content is an error."""
-    return replace_claims(_numbered(records, order, 1), path)
+    """Replace the table: ids 1..n in the given order; missing content is an error.  Reservations are forgotten."""
+    spark = records.sparkSession
+    state = _state(spark, path)
+    _commit(spark, path, replace(state, files=_write(_numbered(records, order, 1), path, state), reserved=[]))
+    return read_claims_table(spark, path)
 
 
 def append_claims(records: DataFrame, path: str, order: list[str], batch: str) -> DataFrame:
     """Insert claims with the ids that follow the largest one.
 
-    ``batch`` names the insertion: a job that is run again overwrites what it wrote the first time.
+    ``batch`` names the insertion, which reserves its ids before it writes: run again it gets the same
+    ids, adds the rows that are missing and leaves the others, with the tags they have by now.  Another number
+    of rows under a name that is taken is an error.
     """
     spark = records.sparkSession
-    folder = _current(spark, path)[1]
-    stored = spark.read.schema(CLAIMS).option("recursiveFileLookup", "true").parquet(folder)
-    own = F.col("_metadata.file_path").contains(f"/batch={batch}/")
-    last = stored.where(~own).agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).first()["last"]
-    _numbered(records, order, last + 1).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+    state, rows = _state(spark, path), records.count()
+    held = next((r for r in state.reserved if r[0] == batch), None)
+    if held is None:
+        last = _read(spark, path, state.files).agg(F.max("id")).first()[0] or 0
+        held = (batch, max([last, *(first + n - 1 for _, first, n in state.reserved)]) + 1, rows)
+        state = replace(state, reserved=[*state.reserved, held])
+        _commit(spark, path, state)
+        state = replace(state, n=state.n + 1)
+    elif held[2] != rows:
+        raise ValueError(f"batch {batch!r} had {held[2]} rows, not {rows}")
+    stored = _read(spark, path, state.files).where(F.col("id").between(held[1], held[1] + rows - 1)).select("id")
+    missing = _numbered(records, order, held[1]).join(stored, "id", "left_anti")
+    _commit(spark, path, replace(state, files=state.files + _write(missing, path, state)))
     return read_claims_table(spark, path)

@@ -29,12 +29,16 @@ def tag_batch(batch: DataFrame, model: LinearTextModel) -> DataFrame:
     """One micro-batch of (claim_id, content, arrived): validate and score in one pass over the rows.
 
     Of several versions of a claim the one that arrived last is kept, one without ``arrived`` only if no
-    other is there; refused texts are scored as empty ones.  A row without claim_id is refused as
+    other is there; among versions of one time the least digest of the content decides, so a replay keeps the
+    same one.  Refused texts are scored as empty ones.  A row without claim_id is refused as
     ``invalid_id``, every such row for itself.
     """
     named = batch.where("claim_id IS NOT NULL").select("claim_id", "arrived", "content")
+    named = named.withColumn("digest", F.xxhash64("content"))
     last = named.groupBy("claim_id").agg(F.max("arrived").alias("last"))
-    newest = named.join(last, "claim_id").where(F.col("arrived").eqNullSafe(F.col("last"))).dropDuplicates(["claim_id"])
+    newest = named.join(last, "claim_id").where(F.col("arrived").eqNullSafe(F.col("last"))).drop("last")
+    first = newest.groupBy("claim_id").agg(F.min("digest").alias("digest"))
+    newest = newest.join(first, ["claim_id", "digest"]).dropDuplicates(["claim_id"])  # equal ones by now
     checked = newest.select("claim_id", "arrived", "content", request_status("content").alias("status")).unionByName(
         batch.where("claim_id IS NULL").select("claim_id", "arrived", "content", F.lit("invalid_id").alias("status")))
     valid = F.col("status") == "valid"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from claimsift.schemas import SPLIT
 from claimsift.sources import reports, splits
 from claimsift.schemas import CLAIMS
-from claimsift.sources.claims_table import append_claims, read_claims_table, replace_claims, reset_claims
+from claimsift.sources.claims_table import append_claims, change_tags, read_claims_of, read_claims_table, replace_claims, reset_claims
 from claimsift.sources.csv_files import read_claims_csv
 
 GOLDEN_CSV = (
@@ -97,3 +97,40 @@ def test_a_table_can_be_replaced_by_what_is_computed_from_it(spark, tmp_path):
     again = replace_claims(stored.withColumn("tag", F.coalesce("tag", F.lit("new"))), path)
     assert sorted(map(tuple, again.collect())) == [(1, "a", "x"), (2, "b", "new")]
     assert sorted(map(tuple, read_claims_table(spark, path).collect())) == [(1, "a", "x"), (2, "b", "new")]
+
+
+def test_a_batch_that_is_run_again_keeps_its_ids_and_tags(spark, tmp_path):
+    path = str(tmp_path / "claims")
+    rows = spark.createDataFrame([(1, "a", None), (2, "b", None), (3, "c", None)], "p int, content string, tag string")
+    reset_claims(rows, path, ["p"])
+    append_claims(rows.limit(2), path, ["p"], "x/../y")
+    append_claims(rows, path, ["p"], "second")
+    change_tags(spark.createDataFrame([(4, "set"), (99, "nowhere")], "id bigint, tag string"), path)
+    again = append_claims(rows.limit(2), path, ["p"], "x/../y")
+    assert sorted(map(tuple, again.collect())) == [
+        (1, "a", None), (2, "b", None), (3, "c", None), (4, "a", "set"), (5, "b", None), (6, "a", None), (7, "b", None), (8, "c", None)]
+    with pytest.raises(ValueError, match="had 2 rows"):
+        append_claims(rows, path, ["p"], "x/../y")
+
+
+def test_an_insertion_that_failed_gets_the_ids_it_reserved(spark, tmp_path):
+    path = str(tmp_path / "claims")
+    rows = spark.createDataFrame([(1, "a", None), (2, "b", None)], "p int, content string, tag string")
+    reset_claims(rows, path, ["p"])
+    with pytest.raises(Exception, match="content must not be null"):
+        append_claims(rows.withColumn("content", F.lit(None).cast("string")), path, ["p"], "one")
+    append_claims(rows, path, ["p"], "two")
+    assert sorted(r["id"] for r in append_claims(rows, path, ["p"], "one").collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_a_change_reads_and_writes_only_the_buckets_of_its_ids(spark, tmp_path):
+    path = str(tmp_path / "claims")
+    rows = spark.range(1, 2001).selectExpr("id", "concat('text ', id) AS content", "CAST(NULL AS STRING) AS tag")
+    before = replace_claims(rows, path)
+    changes = spark.createDataFrame([(7, "x"), (8, None)], "id bigint, tag string")
+    touched = {f.split("bucket=")[1].split("/")[0] for f in read_claims_of(changes, path).inputFiles()}
+    assert 1 <= len(touched) <= 2 and len(before.inputFiles()) >= 30
+    after = change_tags(changes, path)
+    kept = set(before.inputFiles()) & set(after.inputFiles())
+    assert {f.split("bucket=")[1].split("/")[0] for f in set(after.inputFiles()) - kept} == touched
+    assert after.count() == 2000 and [tuple(r) for r in after.where("tag IS NOT NULL").collect()] == [(7, "text 7", "x")]

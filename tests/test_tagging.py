@@ -190,3 +190,19 @@ def test_events_without_ts_or_id_count(spark):
     assert sorted((r["claim_id"], r["tag"]) for r in tagging.tag_state(events).collect()) == [(1, "a"), (2, "b"), (3, "c"), (4, "last")]
     claims = spark.createDataFrame([(k, "x", "old") for k in range(1, 5)], "id bigint, content string, tag string")
     assert {r["id"]: r["tag"] for r in tagging.apply_tags(claims, events).collect()} == {1: "a", 2: "b", 3: "c", 4: "last"}
+
+
+def test_repeated_answers_give_one_result_per_request(spark, claims):
+    requests = spark.createDataFrame([(1, "1"), (2, "1"), (3, "2")], "request_id bigint, id string")
+    given = [(1, "Student loan"), (1, "Mortgage"), (1, "Mortgage")]
+    for rows in (given, given[::-1]):
+        answers = spark.createDataFrame(rows, "claim_id bigint, prediction_raw string")
+        found = tagging.auto_tag_external(requests, claims, answers).orderBy("request_id").collect()
+        assert [(r["request_id"], r["status"], r["prediction_raw"]) for r in found] == [(1, "tagged", "Mortgage"), (2, "tagged", "Mortgage"), (3, "no_answer", None)]
+
+
+def test_versions_of_one_time_are_told_apart_by_their_content(spark, model):
+    rows = [(1, f"text number {k}", 5) for k in range(9)] + [(1, "older", 4)]
+    schema = "claim_id bigint, content string, arrived bigint"
+    got = {auto_tag.tag_batch(spark.createDataFrame(rows[k:] + rows[:k], schema).repartition(3), model).first()["tag"] for k in range(3)}
+    assert len(got) == 1
