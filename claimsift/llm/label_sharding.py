@@ -23,6 +23,7 @@ SHARDS = 8
 ROUNDS = 64  # at most; a round that moves nothing ends them
 BUCKET_BITS = 16  # leading bits of a hash by which volumes are added up
 CHUNK_BITS = 14  # copies of a text that are joined with its places under one key
+HEAVY = 64  # documents of this share of a mean shard are placed one by one
 EVEN = 1e-3  # share of the capacity that copies may lie above it
 BLOCKED = 0.1  # a shard that takes less than this share of what wants to come is closed
 
@@ -50,7 +51,7 @@ def _by_shard(cells: DataFrame, shards: int) -> np.ndarray:
     return loads
 
 
-def _move(cells: DataFrame, wishes: DataFrame, room: np.ndarray, limit: np.ndarray | None = None) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+def _move(cells: DataFrame, wishes: DataFrame, room: np.ndarray, most: np.ndarray | None = None) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """Cells after a round, with what moved and what wanted to; ``wishes`` are cells with ``target`` and ``key``.
 
     Which copies move from one shard to another: the first by ``key`` up to the flow.  Volumes are
@@ -62,7 +63,9 @@ def _move(cells: DataFrame, wishes: DataFrame, room: np.ndarray, limit: np.ndarr
     wanted = np.zeros((shards, shards))
     for source, target, volume in volumes.groupBy("shard", "target").agg(F.sum("volume")).collect():  # shards x shards
         wanted[source, target] = volume
-    allowed = flows(wanted if limit is None else np.minimum(wanted, limit), room)
+    if most is not None:  # what each shard gives away
+        wanted *= np.minimum(1, most / np.maximum(wanted.sum(axis=1), 1))[:, None]
+    allowed = flows(wanted, room)
     if not allowed.any():
         return cells, allowed, wanted
     quotas = spark.createDataFrame(
@@ -76,7 +79,7 @@ def _move(cells: DataFrame, wishes: DataFrame, room: np.ndarray, limit: np.ndarr
     whole = placed.where("edge is null or bucket < edge").withColumn("moved", F.col("n"))
     volume = F.col("n") * F.col("size")
     ahead = F.sum(volume).over(W.partitionBy("shard", "target").orderBy("key", "digest")) - volume
-    part = placed.where("bucket = edge").withColumn("moved", F.floor((F.col("quota") - F.col("before") - ahead) / F.col("size")))
+    part = placed.where("bucket = edge").withColumn("moved", F.floor((F.col("quota") - F.col("before") - ahead) / F.col("size") + 1e-6))
     part = part.withColumn("moved", F.greatest(F.lit(0), F.least("n", "moved")).cast("bigint"))
     columns = ["digest", "size", "shard", "target", "moved"]
     moved = materialise(whole.select(columns).unionByName(part.select(columns)).where("moved > 0"), "moved")
@@ -103,7 +106,7 @@ def relieve(cells: DataFrame, loads: np.ndarray, capacity: float) -> tuple[DataF
             target = F.when(point < F.lit(float(share[t])), t).otherwise(target)
         wishes = cells.where(F.col("shard").isin(np.flatnonzero(over).tolist())).withColumn("target", target)
         wishes = wishes.withColumn("key", F.xxhash64("digest", F.lit(-1 - turn)))
-        cells, done, _ = _move(cells, wishes, under, np.outer(over, under) / under.sum())
+        cells, done, _ = _move(cells, wishes, under, over)
         loads = loads + done.sum(axis=0) - done.sum(axis=1)
         if not done.any():
             break
@@ -113,17 +116,17 @@ def relieve(cells: DataFrame, loads: np.ndarray, capacity: float) -> tuple[DataF
 def propagate(cells: DataFrame, capacity: float, shards: int = SHARDS) -> DataFrame:
     """``cells(digest, size, shard, n)`` after the copies of each text have gathered as far as capacity lets them.
 
-    Copies go to the open shard in which most copies of their text stand (equal numbers: the lower
-    one).  A shard that hardly takes any of those that want to come is closed, and its texts gather in
+    Copies go to the open shard in which most copies of their text stand (equal numbers: by a hash,
+    so that as many wish to come as to go).  A shard that hardly takes any of those that want to come is closed, and its texts gather in
     another one.  Shards above their capacity first give copies away.
     """
     loads = _by_shard(cells, shards)
     closed: set[int] = set()
     for turn in range(ROUNDS):
-        own = F.struct("n", (-F.col("shard")).alias("order"))
+        own = F.struct("n", F.xxhash64("digest", "shard").alias("order"), "shard")
         is_open = ~F.col("shard").isin(sorted(closed)) if closed else F.lit(True)
         best = cells.where(is_open).groupBy("digest").agg(F.max(own).alias("best"))
-        wishes = cells.join(best, "digest").where(F.col("best") > own).withColumn("target", -F.col("best.order"))
+        wishes = cells.join(best, "digest").where(F.col("best") > own).withColumn("target", F.col("best.shard"))
         wishes = wishes.select("digest", "size", "shard", "n", "target", F.xxhash64("digest", F.lit(turn)).alias("key"))
         cells, done, wanted = _move(cells, wishes, capacity - loads)
         loads += done.sum(axis=0) - done.sum(axis=1)
@@ -135,14 +138,28 @@ def propagate(cells: DataFrame, capacity: float, shards: int = SHARDS) -> DataFr
     return relieve(cells, loads, capacity)[0]
 
 
+def _largest_first(rows: list) -> list:
+    return sorted(rows, key=lambda r: (-r[1], bytes(r[0])))
+
+
 def fill(singles: DataFrame, loads: np.ndarray) -> DataFrame:
     """``singles(digest, size, ...)`` with ``shard``, such that loads and sizes together are as even as can be.
 
-    Each class of sizes (powers of two) is dealt in the order of a hash, cut where the shards' shares
-    end.  The few documents that lie across a cut, at most one per class and cut, go one by one,
-    the largest first, to the shard that has least.
+    Documents that are large beside a shard, at most shards * HEAVY, go one by one, the largest first, to
+    the shard that has least.  Each class of sizes (powers of two) of the others is dealt in the order of a hash,
+    cut where the shards' shares end, and the few documents that lie across a cut, at most one per class
+    and cut, again go one by one.
     """
     spark, shards = singles.sparkSession, len(loads)
+    least = max(1, -(-int(singles.agg(F.sum("size")).first()[0] or 0) // (shards * HEAVY)))
+    loads, large = loads.copy(), []
+    for digest, size in _largest_first(singles.where(F.col("size") >= least).select("digest", "size").collect()):
+        large.append((digest, int(np.argmin(loads))))
+        loads[large[-1][1]] += size
+    large = spark.createDataFrame(large, "digest binary, shard int")
+    columns = [*singles.columns, "shard"]
+    heavy = singles.where(F.col("size") >= least).join(F.broadcast(large), "digest").select(columns)
+    singles = singles.where(F.col("size") < least)
     key = F.xxhash64("digest")
     rows = singles.withColumn("class", F.floor(F.log2("size")).cast("int")).withColumn("key", key).withColumn("bucket", bucket(key))
     volumes = materialise(rows.groupBy("class", "bucket").agg(F.sum("size").alias("volume")), "fill-volumes")
@@ -162,7 +179,6 @@ def fill(singles: DataFrame, loads: np.ndarray) -> DataFrame:
     inner = running.join(F.broadcast(crossed.select("class", "bucket")), ["class", "bucket"], "left_anti")
     steps = inner.groupBy("class", passed(before).alias("shard")).agg(F.min("bucket").alias("first"))
     steps = steps.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("first", "shard"))).alias("steps"))
-    columns = [*singles.columns, "shard"]
     edge = rows.join(F.broadcast(crossed), ["class", "bucket"]).join(F.broadcast(bounds), "class")
     start = F.col("before") + F.sum("size").over(W.partitionBy("class", "bucket").orderBy("key", "digest")) - F.col("size")
     edge = materialise(edge.withColumn("start", start).withColumn("shard", passed(F.col("start"))).withColumn(
@@ -170,16 +186,15 @@ def fill(singles: DataFrame, loads: np.ndarray) -> DataFrame:
     whole = rows.join(F.broadcast(crossed.select("class", "bucket")), ["class", "bucket"], "left_anti").join(F.broadcast(steps), "class")
     last = F.element_at(F.filter("steps", lambda s: s["first"] <= F.col("bucket")), -1)["shard"]
     settled = materialise(whole.withColumn("shard", last).select(columns).unionByName(edge.where("not across").select(columns)), "filled")
-    loads = loads.copy()
     for shard, size in settled.groupBy("shard").agg(F.sum("size")).collect():
         loads[shard] += size
     placed = []
     across = edge.where("across").select("digest", "size").collect()  # at most shards - 1 per class
-    for digest, size in sorted(across, key=lambda r: (-r[1], bytes(r[0]))):
+    for digest, size in _largest_first(across):
         placed.append((digest, int(np.argmin(loads))))
         loads[placed[-1][1]] += size
     placed = spark.createDataFrame(placed, "digest binary, shard int")
-    return settled.unionByName(edge.where("across").drop("shard").join(F.broadcast(placed), "digest").select(columns))
+    return heavy.unionByName(settled).unionByName(edge.where("across").drop("shard").join(F.broadcast(placed), "digest").select(columns))
 
 
 def balanced_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
