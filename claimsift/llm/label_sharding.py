@@ -94,19 +94,15 @@ def _move(cells: DataFrame, wishes: DataFrame, room: np.ndarray, most: np.ndarra
 
 
 def relieve(cells: DataFrame, loads: np.ndarray, capacity: float) -> tuple[DataFrame, np.ndarray]:
-    """Cells and loads after shards clearly above ``capacity`` have given copies to those below it."""
-    for turn in range(len(loads)):
-        over, under = np.maximum(loads - capacity, 0), np.maximum(capacity - loads, 0)
-        if not (over > EVEN * capacity).any() or not under.any():
+    """Cells and loads after shards clearly above ``capacity`` have given copies away, the fullest to the emptiest."""
+    for turn in range(4 * len(loads)):
+        source, target = int(np.argmax(loads)), int(np.argmin(loads))
+        if loads[source] - capacity <= EVEN * capacity:
             break
-        share = np.cumsum(under) / under.sum()
-        point = F.shiftrightunsigned(F.xxhash64("digest", F.lit(turn)), 11) / F.lit(float(1 << 53))
-        target = F.lit(int(np.flatnonzero(under)[-1]))
-        for t in reversed(np.flatnonzero(under)[:-1].tolist()):
-            target = F.when(point < F.lit(float(share[t])), t).otherwise(target)
-        wishes = cells.where(F.col("shard").isin(np.flatnonzero(over).tolist())).withColumn("target", target)
-        wishes = wishes.withColumn("key", F.xxhash64("digest", F.lit(-1 - turn)))
-        cells, done, _ = _move(cells, wishes, under, over)
+        most = np.zeros(len(loads))
+        most[source] = min(loads[source] - capacity, capacity - loads[target])
+        wishes = cells.where(F.col("shard") == source).withColumn("target", F.lit(target)).withColumn("key", F.xxhash64("digest", F.lit(-1 - turn)))
+        cells, done, _ = _move(cells, wishes, np.maximum(capacity - loads, 0), most)
         loads = loads + done.sum(axis=0) - done.sum(axis=1)
         if not done.any():
             break
