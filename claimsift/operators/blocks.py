@@ -1,4 +1,4 @@
-"""Blocks of sparse rows times a dense matrix, one product per part of an Arrow batch."""
+"""Blocks of sparse rows times a dense matrix, one product per part of an Arrow batch, and sums of vectors over tasks."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 TERMS = 1 << 17  # terms of rows that are multiplied at a time; a longer row is a part of its own
+SLICE = 1 << 13  # numbers that are added up in one group
 
 
 class Rows:
@@ -40,8 +42,51 @@ class Rows:
                 out[begin + filled] = np.add.reduceat(terms, self.ends[begin:end][filled] - a, axis=0)
         return out
 
+    def back(self, values: np.ndarray, terms: int, squared: bool = False) -> np.ndarray:
+        """One row per term: weights (or their squares) times the ``values`` of their rows, added up."""
+        out = np.zeros((terms, values.shape[1]))
+        for begin, end in self.parts():
+            a, b = self.ends[begin], self.ends[end]
+            at, owner, weights = self.indices[a:b], np.repeat(np.arange(begin, end), self.sizes[begin:end]), self.weights[a:b]
+            weights = weights * weights if squared else weights
+            for k in range(values.shape[1]):
+                out[:, k] += np.bincount(at, weights * values[owner, k], minlength=terms)
+        return out
+
 
 def list_column(table: np.ndarray) -> pa.ListArray:
     """A matrix as a column of arrays."""
     n, k = table.shape
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(table.ravel()))
+
+
+def one_slice(number: int, count: int, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([number], pa.int64()), pa.array([count], pa.int64()), list_column(values[None])], names=["slice", "count", "values"])
+
+
+def slices(count: int, flat: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's vector, which stands for ``count`` rows, in (slice, count, values)."""
+    for k in range(0, len(flat), SLICE):
+        yield one_slice(k // SLICE, count, flat[k:k + SLICE])
+
+
+def added_slices(df: DataFrame) -> tuple[int, np.ndarray]:
+    """Rows and the sum of the tasks' vectors, added up slice by slice; the driver gets one vector."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, count, total = None, 0, None
+        for batch in batches:
+            for k, n, values in zip(batch.column("slice").to_pylist(), batch.column("count").to_pylist(), batch.column("values"), strict=True):
+                if k != number:
+                    if number is not None:
+                        yield one_slice(number, count, total)
+                    number, count, total = k, 0, 0.0
+                count, total = count + n, total + values.values.to_numpy()
+        if number is not None:
+            yield one_slice(number, count, total)
+
+    found = df.repartition("slice").sortWithinPartitions("slice").mapInArrow(add, df.schema).toArrow().sort_by("slice").combine_chunks()
+    if not len(found):
+        return 0, np.zeros(0)
+    return found.column("count")[0].as_py(), found.column("values").combine_chunks().flatten().to_numpy()

@@ -15,25 +15,27 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimsift.fixed_values import LINEAR_ALPHA, LOGISTIC_C, MASKS_TRAINING, MAX_ITERATIONS, NB_ALPHA
+from claimsift.operators import newton
 from claimsift.operators.blocks import Rows, list_column
 from claimsift.operators.features import (
     count_arrays, encode_labels, fit_label_encoder, fit_vocabulary, idf_smooth, long_form, term_counter, weight_arrays,
     with_terms, write_features,
 )
 from claimsift.operators.metrics import accuracy, confusion_counts, per_class_report, weighted_average
+from claimsift.operators.newton import Trust, minimise
 from claimsift.operators.stochastic import Descent, descend
 from claimsift.session import materialise
 
 BROADCAST_BYTES = 256 * 1024 * 1024
 MOST_CLASSES = 10_000
-TOLERANCE = 1e-6  # relative gain of the mean loss below which a solver stops: the default of the ML library
+TOLERANCE = 1e-6  # relative gain of the mean loss below which the solver of the hinge stops: the default of the ML library
 
 
 @dataclass
@@ -140,19 +142,17 @@ def _coefficient_table(spark: SparkSession, matrix: np.ndarray) -> DataFrame:
 
 
 def train_logistic(
-    vectors: DataFrame, vectoriser: Vectoriser, labels: Sequence[str], c: float = LOGISTIC_C,
-    max_iter: int = MAX_ITERATIONS, aggregation_depth: int = 2,
+    vectors: DataFrame, vectoriser: Vectoriser, labels: Sequence[str], c: float = LOGISTIC_C, trust: Trust = Trust(steps=MAX_ITERATIONS),
 ) -> LinearTextModel:
-    """Multinomial logistic regression, L2.  C weighs the summed loss, Spark the mean loss: regParam = 1 / (C n)."""
-    n = vectors.count()
-    fitted = LogisticRegression(
-        family="multinomial", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
-        maxIter=max_iter, tol=TOLERANCE, aggregationDepth=aggregation_depth,
-    ).fit(vectors)
+    """Multinomial logistic regression, L2, by a trust-region Newton method.
+
+    C weighs the summed loss, the solver the mean loss: the penalty is 1 / (C n).
+    """
+    found = minimise(vectors, len(vectoriser.vocabulary), len(labels), lambda n: 1.0 / (c * n), newton.Softmax, trust)
     return LinearTextModel(
-        "Logistic Regression", vectoriser, list(labels), [float(b) for b in fitted.interceptVector],
-        _coefficient_table(vectors.sparkSession, fitted.coefficientMatrix.toArray()), "softmax",
-        {"iterations": fitted.summary.totalIterations},
+        "Logistic Regression", vectoriser, list(labels), found.matrix[-1].tolist(),
+        _coefficient_table(vectors.sparkSession, found.matrix[:-1].T), "softmax",
+        {"iterations": len(found.gradients) - 1, "passes": found.passes, "gradient_left": found.gradients[-1] / (found.gradients[0] or 1.0)},
     )
 
 
@@ -171,11 +171,14 @@ def train_linear_ovr(
     vectors: DataFrame, vectoriser: Vectoriser, labels: Sequence[str], alpha: float = LINEAR_ALPHA,
     max_iter: int = MAX_ITERATIONS, hinge: bool = False, parallelism: int = 4,
 ) -> LinearTextModel:
-    """One binary model per class at its optimum, by full gradients: logistic loss, or the hinge of a linear SVM."""
-    base = (
-        LinearSVC(regParam=alpha, standardization=False, maxIter=max_iter, tol=TOLERANCE) if hinge
-        else LogisticRegression(family="binomial", regParam=alpha, standardization=False, maxIter=max_iter, tol=TOLERANCE)
-    )
+    """One binary model per class at its optimum: logistic loss by Newton steps for all classes at once, or the hinge of a linear SVM."""
+    if not hinge:
+        found = minimise(vectors, len(vectoriser.vocabulary), len(labels), lambda n: alpha, newton.OneVsRest, Trust(steps=max_iter))
+        return LinearTextModel(
+            "Linear SVM (SGD)", vectoriser, list(labels), found.matrix[-1].tolist(),
+            _coefficient_table(vectors.sparkSession, found.matrix[:-1].T), "one_vs_rest",
+            {"iterations": len(found.gradients) - 1, "passes": found.passes, "gradient_left": found.gradients[-1] / (found.gradients[0] or 1.0)})
+    base = LinearSVC(regParam=alpha, standardization=False, maxIter=max_iter, tol=TOLERANCE)
     fitted = OneVsRest(classifier=base, parallelism=parallelism).fit(vectors)
     matrix = np.vstack([m.coefficients.toArray() for m in fitted.models])
     return LinearTextModel(

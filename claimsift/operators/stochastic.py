@@ -17,9 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimsift.operators.blocks import Rows, list_column
+from claimsift.operators.blocks import Rows, added_slices, slices
 
-SLICE = 1 << 13  # coefficients that are added up in one group
 MOST_STEP = 4.0  # for the mean gradient of a batch: rows have unit length, so half of what is stable
 
 
@@ -89,41 +88,19 @@ def _round(data: DataFrame, state: State, how: Descent, turn: int) -> tuple[Stat
             count += len(labels)
         if count:
             flat = np.concatenate([own.weights.ravel(), own.bias, [loss / count]]) * count
-            for k in range(0, len(flat), SLICE):
-                yield _slice(k // SLICE, count, flat[k:k + SLICE])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, count, total = None, 0, None
-        for batch in batches:
-            for k, n, values in zip(batch.column("slice").to_pylist(), batch.column("count").to_pylist(), batch.column("values"), strict=True):
-                if k != number:
-                    if number is not None:
-                        yield _slice(number, count, total)
-                    number, count, total = k, 0, 0.0
-                count, total = count + n, total + values.values.to_numpy()
-        if number is not None:
-            yield _slice(number, count, total)
-
-    schema = "slice bigint, count bigint, values array<double>"
-    slices = data.mapInArrow(run, schema).repartition("slice").sortWithinPartitions("slice").mapInArrow(add, schema)
-    found = slices.toArrow().sort_by("slice").combine_chunks()  # one model
+            yield from slices(count, flat)
+
+    count, total = added_slices(data.mapInArrow(run, "slice bigint, count bigint, values array<double>"))
     shared.unpersist()
-    if not len(found):
+    if not count:
         return state, 0.0
-    count = found.column("count")[0].as_py()
-    flat = found.column("values").combine_chunks().flatten().to_numpy() / count
+    flat = total / count
     size, k = state.weights.size, len(state.bias)
     # Each task's step decays by the rows it has seen itself; the mean of these counts goes on.
     seen = state.seen + how.passes * count // max(data.rdd.getNumPartitions(), 1)
     return State(flat[:size].reshape(state.weights.shape), flat[size:size + k], seen), float(flat[-1]) / how.passes
 
 
-def _slice(number: int, count: int, total: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([number], pa.int64()), pa.array([count], pa.int64()), list_column(total[None])],
-        names=["slice", "count", "values"])
-
-
 def descend(vectors: DataFrame, terms: int, classes: int, how: Descent) -> tuple[State, list[float]]:
     """The model (terms x classes) for ``vectors(features, label)`` and the mean loss of each round."""
     parts = F.unwrap_udt(F.col("features"))

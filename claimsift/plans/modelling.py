@@ -18,7 +18,7 @@ from claimsift.sources.model_store import load_model, load_or_train_model, save_
 from claimsift.sources.splits import write_split
 
 SIZE = VOCABULARY_FULL
-AT_OPTIMUM = 0.002  # share of the first gradient that may be left
+AT_OPTIMUM = 0.0001  # share of the first gradient that may be left
 NEAR_OPTIMUM = 0.05  # the same for the stochastic fit
 
 
@@ -181,7 +181,7 @@ def compare_models(spark, sf):
 
 
 def _optimum(spark, sf, fit, penalty):
-    """Whether the solver came to the optimum: the gradient is at most a five-hundredth of what it was at the start."""
+    """Whether the solver came to the optimum: the gradient is at most a ten-thousandth of what it was at the start."""
     table = _training(spark, sf, vectors=True)
     train = table.vectors.where("split = 'train'").persist()
     try:

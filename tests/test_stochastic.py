@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 
 from claimsift.operators import stochastic
-from claimsift.operators.blocks import TERMS, Rows
+from claimsift.operators.blocks import SLICE, TERMS, Rows
 from claimsift.operators.stochastic import Descent, descend
 
 
@@ -73,9 +73,9 @@ def test_averaged_tasks_come_near_the_optimum(spark):
 
 def test_slices_and_tables_without_rows(spark, monkeypatch):
     assert descend(vectors(spark, made(1, 9, 2, 3), 9, 1).limit(0), 9, 2, Descent(1e-4, rounds=2))[0].weights.sum() == 0
-    rows = made(50, stochastic.SLICE, 2, 4)
-    state, _ = descend(vectors(spark, rows, stochastic.SLICE, 3), stochastic.SLICE, 2, Descent(1e-4, rounds=2))
-    assert state.weights.shape == (stochastic.SLICE, 2) and np.isfinite(state.weights).all() and state.weights.any()
+    rows = made(50, SLICE, 2, 4)
+    state, _ = descend(vectors(spark, rows, SLICE, 3), SLICE, 2, Descent(1e-4, rounds=2))
+    assert state.weights.shape == (SLICE, 2) and np.isfinite(state.weights).all() and state.weights.any()
 
 
 @pytest.mark.parametrize("sizes", [[0, 3, 0, 0, 2, 0], [0], [], [TERMS + 5, 0, 1, TERMS // 2, TERMS, 0]])
@@ -88,4 +88,9 @@ def test_blocks_of_rows(sizes):
         names=["_indices", "_weights"])
     want = np.array([(weights[a:b, None] * matrix[at[a:b]]).sum(axis=0) for a, b in zip(ends, ends[1:], strict=False)]).reshape(len(sizes), 4)
     assert np.allclose(Rows(batch).times(matrix), want)
+    back = np.zeros((50, 3))
+    values = rng.random((len(sizes), 3))
+    for row, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+        np.add.at(back, at[a:b], weights[a:b, None] ** 2 * values[row])
+    assert np.allclose(Rows(batch).back(values, 50, squared=True), back)
     assert len(sizes) < 2 or np.allclose(Rows(batch.slice(1)).times(matrix), want[1:])
