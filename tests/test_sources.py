@@ -1,4 +1,7 @@
+import csv
+import io
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +10,7 @@ from claimsift.schemas import SPLIT
 from claimsift.sources import reports, splits
 from claimsift.schemas import CLAIMS
 from claimsift.sources.claims_table import append_claims, change_tags, read_claims_of, read_claims_table, replace_claims, reset_claims
-from claimsift.sources.csv_files import read_claims_csv
+from claimsift.sources.csv_files import csv_records, ends_inside, read_claims_csv
 
 GOLDEN_CSV = (
     'Company,Date received,Issue,Tag,Consumer Claim\n'
@@ -43,6 +46,59 @@ def test_csv_files_are_numbered_in_file_order(spark, tmp_path):
     assert [r["claim"] for r in rows] == [f"{k}-{i}" for k, n in enumerate((3, 700, 20)) for i in range(n)]
 
 
+@pytest.fixture
+def small_ranges(spark):
+    """Files are cut into ranges of so many bytes."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    yield lambda size: spark.conf.set(name, size)
+    spark.conf.set(name, before)
+
+
+def _hostile_rows(rows):
+    rng = random.Random(5)
+    cells = ["plain", "", 'say ""', '"', '""', "a,b", ',"', '",', "line\nbreak", "\n", "\n\n", 'x\n"y",\n"', "Ünï", 'no "quote', " "]
+    return [[f"{k}", "t", "".join(rng.choices(cells, k=rng.randint(0, 4))) + "z", "c"] for k in range(rows)]
+
+
+@pytest.mark.parametrize(("size", "end"), [(19, "\n"), (23, "\r\n"), (97, "\n")])
+def test_records_are_whole_wherever_a_file_is_cut(spark, tmp_path, small_ranges, size, end):
+    rows, wanted = _hostile_rows(12 if size < 90 else 60), []
+    for name, part in (("a", rows[:-3]), ("b", rows[-3:])):
+        out = io.StringIO()
+        csv.writer(out, lineterminator=end).writerows([["Date received", "Tag", "Consumer Claim", "Company"], *part])
+        (tmp_path / f"{name}.csv").write_bytes(out.getvalue().encode())
+        wanted += part
+    small_ranges(size)
+    got = read_claims_csv(spark, str(tmp_path)).orderBy("claim_id").collect()
+    assert [r["claim_id"] for r in got] == list(range(1, len(rows) + 1))
+    assert [[r["date_received"], r["tag"], r["claim"], r["company"]] for r in got] == wanted
+
+
+def test_one_file_is_many_tasks(spark, tmp_path, small_ranges):
+    (tmp_path / "one.csv").write_text('a,b\n' + "".join(f'{k},"x\n{k}"\n' for k in range(300)))
+    small_ranges(400)
+    assert spark.read.option("lineSep", "\n").text(str(tmp_path)).rdd.getNumPartitions() > 5
+    texts = {(r["record"], r["text"]) for r in csv_records(spark, str(tmp_path)).collect()}
+    assert texts == {(k + 1, f'{k},"x\n{k}"') for k in range(300)}
+
+
+def test_csv_edges(spark, tmp_path, small_ranges):
+    head = "Date received,Tag,Consumer Claim,Company\n"
+    (tmp_path / "a.csv").write_bytes(b"\xef\xbb\xbf" + f'{head}\n\nd,5" pipe,"q""",c\n\nd,t,"a ""b""","never closed\nx'.encode())
+    (tmp_path / "b.csv").write_text(head)
+    for size in (23, 1 << 20):
+        small_ranges(size)
+        got = read_claims_csv(spark, str(tmp_path), {"Tag": "tag", "Consumer Claim": "claim", "Company": "c"}).orderBy("claim_id").collect()
+        assert [tuple(r) for r in got] == [(1, '5" pipe', 'q"', "c"), (2, "t", 'a "b"', "never closed\nx")]
+
+
+def test_states_of_lines():
+    assert [ends_inside(x, False) for x in (b'a,b', b'"a', b'a,"b', b'a,"b"', b'a"b,"c""', b'"a"b"c', b'"a"x,"b', b',"', b'""', b'"""')] == [
+        False, True, True, False, True, False, True, True, False, True]
+    assert [ends_inside(x, True) for x in (b"a", b'a"', b'a""', b'a",b', b'","', b'"\r')] == [True, False, True, False, True, False]
+
+
 @pytest.fixture
 def split(spark):
     rows = [(1, " a\n\"b\", c ", "x", False, "train"), (2, "None", "x", True, "test"), (3, "t", "y", False, "test")]
