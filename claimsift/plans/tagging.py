@@ -13,7 +13,7 @@ from claimsift.plans.tables import (
     words_sql,
 )
 from claimsift.session import new_path
-from claimsift.sources.claims_table import append_claims, change_tags, read_claims_table, replace_claims, reset_claims
+from claimsift.sources.claims_table import append_claims, change_tags, read_claim, read_claims_table, replace_claims, reset_claims
 from claimsift.streaming import auto_tag
 
 INBOX = "src5"
@@ -105,6 +105,13 @@ def claim_by_id(spark, sf):
     return _shown(tagging.claim_by_id(_claims(spark, sf), 77))
 
 
+def claim_by_id_stored(spark, sf):
+    """Looked up in the stored table, where one bucket is read."""
+    path = new_path(spark, "claims")
+    replace_claims(_claims(spark, sf), path)
+    return _shown(read_claim(spark, path, 77))
+
+
 def tag_state(spark, sf):
     rows = tagging.tag_state(tagging.manual_changes(_events(spark, sf)))
     return rows.withColumn("confidence", F.round("confidence", 6))
@@ -140,7 +147,7 @@ def auto_tag_stream(spark, sf):
     arrivals = auto_tag.read_arrivals(spark, inbox, spark.read.parquet(inbox).schema, max_files=4)
     auto_tag.auto_tag_stream(arrivals, model, target, checkpoint).awaitTermination()
     auto_tag.compact_tagged(spark, target)
-    return auto_tag.read_tagged(spark, target).drop("arrived")
+    return auto_tag.read_tagged(spark, target).drop("arrived", "digest")
 
 
 QUERIES = {
@@ -159,6 +166,7 @@ QUERIES = {
     "apply_tags": apply_tags,
     "apply_tags_stored": apply_tags_stored,
     "claim_by_id": claim_by_id,
+    "claim_by_id_stored": claim_by_id_stored,
     "tag_state": tag_state,
     "auto_tag_external": auto_tag_external,
     "auto_tag_external_table": auto_tag_external_table,
@@ -249,3 +257,4 @@ FROM parsed p LEFT JOIN all_tagged a ON a.claim_id + 1 = p.claim_id""",
     "auto_tag_stream": f"WITH {all_texts_sql()} SELECT claim_id, status, tag, confidence FROM all_tagged",
 }
 ORACLES["apply_tags_stored"] = ORACLES["apply_tags"]
+ORACLES["claim_by_id_stored"] = ORACLES["claim_by_id"]

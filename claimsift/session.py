@@ -25,6 +25,7 @@ def build_session(app_name: str = "claimsift", master: str | None = None, **sett
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     for key, value in {**defaults, **settings}.items():
         builder = builder.config(key, value)

@@ -19,6 +19,8 @@ from claimsift.operators.numbering import number_rows
 from claimsift.schemas import CLAIMS
 
 BUCKETS = 32
+ROW_GROUP_BYTES = 16 << 20
+DISTINCT_TAGS = 1000  # that the Bloom filter of a row group is made for; with more it lets more pass
 LOG = "n long, buckets int, files array<struct<bucket:int,folder:string>>, reserved array<struct<batch:string,first:long,rows:long>>"
 
 
@@ -52,10 +54,16 @@ def _bucket(state: State, claim_id: str = "id") -> Column:
 
 
 def _write(claims: DataFrame, path: str, state: State) -> list[tuple[int, str]]:
-    """Store rows in a new folder, by bucket; returns the buckets that have any."""
+    """Store rows in a new folder, by bucket; returns the buckets that have any.
+
+    Rows of a bucket lie in the order of ids, and row groups carry a Bloom filter of their tags, so that a reader skips the row groups
+    that cannot hold an id or a tag.
+    """
     spark, folder = claims.sparkSession, f"version-{uuid.uuid4().hex}"
     rows = claims.select(*CLAIMS.names).withColumn("bucket", _bucket(state))
-    rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/{folder}")
+    rows = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "id")
+    layout = {"parquet.block.size": ROW_GROUP_BYTES, "parquet.bloom.filter.enabled#tag": "true", "parquet.bloom.filter.expected.ndv#tag": DISTINCT_TAGS}
+    rows.write.options(**layout).partitionBy("bucket").parquet(f"{path}/{folder}")
     written = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
     names = [s.getPath().getName() for s in written.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(written)]
     return [(int(name.removeprefix("bucket=")), folder) for name in names if name.startswith("bucket=")]
@@ -80,6 +88,11 @@ def read_claims_of(ids: DataFrame, path: str) -> DataFrame:
     return _read(spark, path, [f for f in state.files if f[0] in touched])
 
 
+def read_claim(spark: SparkSession, path: str, claim_id: int) -> DataFrame:
+    """The row of one id, from its bucket and there from the row group whose range of ids holds it."""
+    return read_claims_of(spark.range(1).select(F.lit(claim_id).alias("id")), path).where(F.col("id") == claim_id)
+
+
 def replace_claims(claims: DataFrame, path: str) -> DataFrame:
     """Store a new state of the whole table, which may be computed from the one before."""
     spark = claims.sparkSession

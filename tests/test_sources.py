@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimsift.schemas import SPLIT
-from claimsift.sources import reports, splits
+from claimsift.sources import claims_table, reports, splits
 from claimsift.schemas import CLAIMS
-from claimsift.sources.claims_table import append_claims, change_tags, read_claims_of, read_claims_table, replace_claims, reset_claims
+from claimsift.sources.claims_table import append_claims, change_tags, read_claim, read_claims_of, read_claims_table, replace_claims, reset_claims
 from claimsift.sources.csv_files import csv_records, ends_inside, read_claims_csv
 
 GOLDEN_CSV = (
@@ -190,3 +190,21 @@ def test_a_change_reads_and_writes_only_the_buckets_of_its_ids(spark, tmp_path):
     kept = set(before.inputFiles()) & set(after.inputFiles())
     assert {f.split("bucket=")[1].split("/")[0] for f in set(after.inputFiles()) - kept} == touched
     assert after.count() == 2000 and [tuple(r) for r in after.where("tag IS NOT NULL").collect()] == [(7, "text 7", "x")]
+
+
+def _rows_scanned(df):
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(k).metrics().get("numOutputRows").get().value() for k in range(leaves.size()))
+
+
+def test_look_ups_skip_row_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(claims_table, "ROW_GROUP_BYTES", 8 << 10)
+    path = str(tmp_path / "claims")
+    rows = spark.range(1, 60001).selectExpr("id", "sha2(string(id), 256) AS content", "concat('tag ', id % 40) AS tag")
+    stored = replace_claims(rows, path)
+    found = read_claim(spark, path, 777)
+    assert [r["id"] for r in found.collect()] == [777] and read_claim(spark, path, 60001).count() == 0
+    bucket = read_claims_of(spark.createDataFrame([(777,)], "id bigint"), path)
+    assert _rows_scanned(found) < bucket.count() / 4 < 60000 / 32
+    assert _rows_scanned(stored.where("tag = 'tag 1x'")) == 0 < _rows_scanned(stored.where("tag = 'tag 17'"))

@@ -206,3 +206,27 @@ def test_versions_of_one_time_are_told_apart_by_their_content(spark, model):
     schema = "claim_id bigint, content string, arrived bigint"
     got = {auto_tag.tag_batch(spark.createDataFrame(rows[k:] + rows[:k], schema).repartition(3), model).first()["tag"] for k in range(3)}
     assert len(got) == 1
+
+
+def test_the_stream_passes_on_changes_only(spark, model):
+    """Versions of one time in two batches, a repeated file, an older version, and a lost checkpoint: one defined row."""
+    schema = "claim_id bigint, content string, arrived bigint"
+    batches = [
+        [(1, "text one", 5), (2, "text two", None)], [(1, "text other", 5), (1, "older text", 4), (3, "text three", 1)],
+        [(1, "text one", 5), (2, "text two", 3)]]
+    states = []
+    for order in (batches, batches[::-1]):
+        inbox, target, checkpoint = (new_path(spark, n) for n in ("arrivals", "tagged", "stream"))
+        written = []
+        for rows in [*order, order[0]]:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+            auto_tag.auto_tag_stream(auto_tag.read_arrivals(spark, inbox, spark.read.parquet(inbox).schema), model, target, checkpoint).awaitTermination()
+            stored = spark.read.schema(auto_tag.TAGGED).option("recursiveFileLookup", "true").parquet(target)
+            written.append(stored.count())
+        assert written[-1] == written[-2] <= 5  # the repeated file changes nothing
+        once = sorted(map(tuple, auto_tag.read_tagged(spark, target).collect()))
+        again = auto_tag.read_arrivals(spark, inbox, spark.read.parquet(inbox).schema)
+        auto_tag.auto_tag_stream(again, model, target, new_path(spark, "stream")).awaitTermination()
+        assert sorted(map(tuple, auto_tag.read_tagged(spark, target).collect())) == once
+        states.append(once)
+    assert states[0] == states[1] and [(r[0], r[1]) for r in states[0]] == [(1, 5), (2, 3), (3, 1)]
