@@ -31,7 +31,7 @@ def make_splits(
     """
     usable = usable_text(select_useful(raw))
     keys = harmonise_tag(unique_keys(usable).drop("digest"), taxonomy).select("claim_id", "tag_clean")
-    kept = min_support_filter(materialise(keys, "keys"), minimum)
+    kept = min_support_filter(keys, minimum)
     sides = materialise(stratified_split(kept, test_share=test_share), "sides")
     drawn = materialise(nested_sample(sides, sample_size), "sides")
     write_split(usable.select("claim_id", "claim").join(drawn, "claim_id"), path)

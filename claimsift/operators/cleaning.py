@@ -117,11 +117,13 @@ def distinct_tags(df: DataFrame) -> DataFrame:
     )
 
 
-def min_support_filter(df: DataFrame, minimum: int = MIN_SUPPORT, tag: str = "tag_clean") -> DataFrame:
+def min_support_filter(df: DataFrame, minimum: int = MIN_SUPPORT, tag: str = "tag_clean", stored: bool = False) -> DataFrame:
     """Rows whose tag has at least ``minimum`` rows.
 
-    The surviving tags are written first: the planner then broadcasts them if they are small enough.
+    The rows are needed twice, so they are written first unless they are those of a ``stored`` table.
+    The surviving tags are written as well: the planner then broadcasts them if they are small enough.
     """
+    df = df if stored else materialise(df, "tagged-rows")
     counts = df.where(F.col(tag).isNotNull()).groupBy(tag).agg(F.count(F.lit(1)).alias("support"))
     valid = materialise(counts.where(F.col("support") >= minimum).select(tag), "valid-tags")
     return df.join(valid, tag, "left_semi")

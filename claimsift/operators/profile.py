@@ -13,6 +13,8 @@ from claimsift.operators.features import term_totals, top_terms
 from claimsift.operators.sampling import sample_n
 from claimsift.session import materialise
 
+PREVIEW_ROWS = 5
+
 
 def profile_table(df: DataFrame) -> DataFrame:
     """Per column: position, name, non-null rows, all rows.  One pass, then unpivoted."""
@@ -22,6 +24,11 @@ def profile_table(df: DataFrame) -> DataFrame:
     return totals.selectExpr(f"stack({len(names)}, {cells}) AS (position, column_name, n_non_null)", "_rows AS n_rows")
 
 
+def preview(df: DataFrame, row_id: str = "claim_id", rows: int = PREVIEW_ROWS) -> DataFrame:
+    """The first rows of the table, by id; every task hands on that many at most."""
+    return df.orderBy(row_id).limit(rows)
+
+
 def length_frequencies(capped: DataFrame) -> DataFrame:
     """Rows per word count: as many rows as the cap at most, whatever the size of the table."""
     return capped.groupBy("word_count").agg(F.count(F.lit(1)).alias("freq"))
@@ -117,10 +124,13 @@ def length_box_stats(capped: DataFrame, tag: str = "tag_clean") -> DataFrame:
 
 def top_bigrams(
     claims: DataFrame, stop_words: Iterable[str], masks: Iterable[str] = (), sample: int = PROFILE_SAMPLE,
-    top: int = PROFILE_TOP, seed: int | str = SEED, text: str = "claim", row_id: str = "claim_id",
+    top: int = PROFILE_TOP, seed: int | str = SEED, text: str = "claim", row_id: str = "claim_id", pool: DataFrame | None = None,
 ) -> DataFrame:
-    """The most frequent bigrams of a sample of the claims; stop words go before pairs are formed."""
-    drawn = sample_n(claims.where(F.col(text).isNotNull()).select(row_id, text), sample, row_id, seed)
+    """The most frequent bigrams of a sample of the claims; stop words go before pairs are formed.
+
+    ``pool`` (the table that the claims are filtered from, of which only the ids are read) spares a pass over the texts.
+    """
+    drawn = sample_n(claims.where(F.col(text).isNotNull()).select(row_id, text), sample, row_id, seed, pool)
     tokens = with_tokens(drawn, text, "tokens", [*stop_words, *masks])
     found = top_terms(term_totals(with_ngrams(tokens, "tokens", "terms", 2, 2)), top)
     return found.orderBy(F.desc("n"), F.asc("term"))  # ``top`` rows

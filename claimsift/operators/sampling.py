@@ -88,9 +88,32 @@ def inside(row_id: str, seed: int | str = SEED) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def sample_n(df: DataFrame, n: int, row_id: str = "claim_id", seed: int | str = SEED) -> DataFrame:
-    """Exactly ``n`` rows (all, if there are fewer), the first in hash order."""
+def _near(df: DataFrame, n: int, pool: DataFrame, row_id: str, seed: int | str) -> DataFrame:
+    """A stored part of ``df`` that holds its first ``n`` rows in hash order: all rows up to a bucket, which is read off the pool."""
+    counts = bucket_counts(pool.select(row_id, F.lit("all").alias("_stratum")), "_stratum", row_id, seed)
+    upto = counts.withColumn("upto", F.sum("rows").over(W.partitionBy("_stratum").orderBy("bucket")))  # at most 65,536 rows
+    wanted = 2 * n
+    while True:
+        last = upto.where(F.col("upto") >= wanted).agg(F.min("bucket")).first()[0]
+        part = df if last is None else df.where(F.substring(row_hash(row_id, seed), 1, BUCKET_DIGITS) <= last)
+        part = materialise(part, "near")
+        if last is None or part.count() >= n:
+            return part
+        wanted *= 4
+
+
+def sample_n(df: DataFrame, n: int, row_id: str = "claim_id", seed: int | str = SEED, pool: DataFrame | None = None) -> DataFrame:
+    """Exactly ``n`` rows (all, if there are fewer), the first in hash order.
+
+    The ids are written first, so ``df`` is computed twice.  With ``pool``, a table whose ids hold all those of
+    ``df`` (the table before a filter on its texts), it is computed once: what lies near the cut is
+    estimated from the ids of the pool, stored, and cut exactly; only if less than half of the pool
+    passes the filter, a second time with a wider bound.
+    """
+    if pool is not None:
+        df = _near(df, n, pool, row_id, seed)
     keys = df.select(row_id, F.lit("all").alias("_stratum"))
+    keys = keys if pool is not None else materialise(keys, "sample-keys")
     counts = bucket_counts(keys, "_stratum", row_id, seed)
     quotas = counts.groupBy("_stratum").agg(F.least(F.sum("rows"), F.lit(n)).alias("quota"))
     cuts = cut_offs(keys, counts, quotas, "_stratum", row_id, seed).drop("_stratum")

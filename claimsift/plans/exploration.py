@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from claimsift.fixed_values import MASKS_PROFILE, VOCABULARY_FULL
 from claimsift.functions.text import ngrams, remove_words, tokenise, word_count
 from claimsift.operators import cleaning, features, profile
-from claimsift.plans.tables import RAW_CLAIMS, STOPS, TAXONOMY, documents, planted_sql, raw_claims, words_sql
-from claimsift.session import materialise, new_path
+from claimsift.plans.tables import RAW_CLAIMS, STOPS, TAXONOMY, documents, planted_sql, raw_claims, table, words_sql
+from claimsift.session import new_path
 from claimsift.sources.csv_files import read_claims_csv, write_csv
 
 RAW = planted_sql("claims_raw", RAW_CLAIMS)
@@ -31,6 +31,10 @@ def _usable(spark, sf):
     return cleaning.usable_text(raw_claims(spark, sf))
 
 
+def _ids(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("claim_id"))
+
+
 def _profile(spark, sf):
     return cleaning.claim_profile(raw_claims(spark, sf), TAXONOMY)
 
@@ -85,6 +89,7 @@ def _terms(spark, sf, low=1, high=2):
 
 QUERIES = {
     "profile_table": lambda s, d: profile.profile_table(raw_claims(s, d)),
+    "profile_preview": lambda s, d: _text(profile.preview(raw_claims(s, d)), "claim_id", "tag", "company", "label"),
     "csv_round_trip": csv_round_trip,
     "usable_text": lambda s, d: _text(_usable(s, d), "claim_id", "tag"),
     "coverage": lambda s, d: cleaning.coverage(raw_claims(s, d)),
@@ -96,7 +101,7 @@ QUERIES = {
     "tag_counts_clean": lambda s, d: cleaning.tag_counts(_profile(s, d), "tag_clean"),
     "distinct_tags": lambda s, d: cleaning.distinct_tags(_profile(s, d)),
     "clean_claims": lambda s, d: _text(cleaning.clean_claims(raw_claims(s, d), TAXONOMY), "claim_id", "tag_clean", "word_count"),
-    "min_support_filter": lambda s, d: cleaning.min_support_filter(materialise(_profile(s, d), "profile")).select("claim_id", "tag_clean"),
+    "min_support_filter": lambda s, d: cleaning.min_support_filter(_profile(s, d)).select("claim_id", "tag_clean"),
     "length_histogram": lambda s, d: profile.length_histogram(_lengths(s, d)),
     "length_density": lambda s, d: profile.length_density(_lengths(s, d)),
     "length_box_stats": lambda s, d: profile.length_box_stats(_lengths(s, d)),
@@ -104,8 +109,8 @@ QUERIES = {
     "remove_stop_words": lambda s, d: _filtered(s, d, STOPS),
     "remove_masks": lambda s, d: _filtered(s, d, [*STOPS, *MASKS_PROFILE]),
     "ngrams": term_arrays,
-    "top_bigrams_raw": lambda s, d: profile.top_bigrams(_usable(s, d), STOPS),
-    "top_bigrams_clean": lambda s, d: profile.top_bigrams(_usable(s, d), STOPS, MASKS_PROFILE),
+    "top_bigrams_raw": lambda s, d: profile.top_bigrams(_usable(s, d), STOPS, pool=_ids(s, d)),
+    "top_bigrams_clean": lambda s, d: profile.top_bigrams(_usable(s, d), STOPS, MASKS_PROFILE, pool=_ids(s, d)),
     "document_frequency": lambda s, d: features.document_frequency(_terms(s, d, 1, 1)),
     "vocabulary": lambda s, d: features.top_terms(features.term_totals(_terms(s, d)), VOCABULARY_FULL),
 }
@@ -132,6 +137,8 @@ _COLUMNS = ["claim_id", "tag", "claim", "company", "label"]
 ORACLES = {
     "clean_claims": f"""WITH {CLEAN} SELECT claim_id, tag_clean, CAST(word_count AS INT) AS word_count,
   length(claim) AS n_chars, md5(claim) AS digest FROM clean""",
+    "profile_preview": f"""WITH {RAW} SELECT claim_id, tag, company, label, length(claim) AS n_chars, md5(claim) AS digest
+FROM claims_raw ORDER BY claim_id LIMIT 5""",
     "profile_table": f"WITH {RAW} " + " UNION ALL ".join(
         f"SELECT CAST({i} AS INT) AS position, '{c}' AS column_name, count({c}) AS n_non_null, count(*) AS n_rows FROM claims_raw"
         for i, c in enumerate(_COLUMNS)

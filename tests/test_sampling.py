@@ -78,6 +78,15 @@ def test_sample_n(keys, n):
     assert {r["claim_id"] for r in sampling.sample_n(keys, n).collect()} == expected
 
 
+@pytest.mark.parametrize(("n", "share"), [(0, 2), (40, 2), (700, 7), (700, 1), (5000, 2)])
+def test_sample_n_of_a_pool(keys, n, share):
+    """Rows of a filtered table, found from the ids before the filter, whatever share of them passes it."""
+    kept = [i for i in range(3000) if i % share == 0]
+    expected = set(sorted(kept, key=lambda i: (_hash(i), i))[:n])
+    drawn = sampling.sample_n(keys.where(F.col("claim_id") % share == 0), n, pool=keys.select("claim_id"))
+    assert {r["claim_id"] for r in drawn.collect()} == expected
+
+
 def test_balanced_small_and_large_limits(keys):
     rows = [(r["claim_id"], r["tag_clean"]) for r in keys.collect()]
     for limit in (10, 1500):
