@@ -1,3 +1,4 @@
+import time
 from datetime import datetime
 
 import pytest
@@ -230,3 +231,72 @@ def test_the_stream_passes_on_changes_only(spark, model):
         assert sorted(map(tuple, auto_tag.read_tagged(spark, target).collect())) == once
         states.append(once)
     assert states[0] == states[1] and [(r[0], r[1]) for r in states[0]] == [(1, 5), (2, 3), (3, 1)]
+
+
+def _service(folder, fails_at=None):
+    """A client that notes every call as a file; ``fails_at``: the task dies at the prompt with this word."""
+    def make():
+        def call(prompt):
+            if fails_at and fails_at in prompt:
+                raise SystemExit("lost")
+            if "busy" in prompt and not list(folder.glob("*busy*")):
+                (folder / "busy").touch()
+                raise RuntimeError("429")
+            (folder / f"{abs(hash(prompt))}-{time.time_ns()}").write_text(prompt)
+            if "broken" in prompt:
+                raise RuntimeError("no")
+            return f" Answer to {prompt.split(chr(10))[2]} "
+        return call
+    return make
+
+
+def test_every_claim_gets_the_answer_to_its_own_text(spark, tmp_path):
+    rows = [(1, "one"), (2, "two"), (3, "one"), (4, None), (5, "broken"), (6, "busy"), (None, "two"), (1, "one")]
+    df = spark.createDataFrame(rows, "claim_id bigint, claim string")
+    want = {"one": ("Answer to one", 1), "two": ("Answer to two", 1), None: ("Answer to", 1), "broken": (ANSWER_ERROR, 1), "busy": ("Answer to busy", 2)}
+    expected = sorted(((k, *want[t]) for k, t in rows), key=str)
+    plain, logged, log = tmp_path / "plain", tmp_path / "logged", f"file:{tmp_path}/log"
+    plain.mkdir(), logged.mkdir()
+    shown = lambda out: sorted(((r["claim_id"], r["prediction_raw"], r["attempts"]) for r in out.collect()), key=str)
+    calm = {"clock": _no_clock, "sleep": _no_sleep, "pause": 0.0}
+    assert shown(external.score_external(df, _service(plain), parallel_calls=1, **calm)) == expected
+    assert len(list(plain.glob("*-*"))) == 8
+    assert shown(external.score_logged(df, _service(logged), log, tasks=3, **calm)) == expected
+    assert len(list(logged.glob("*-*"))) == 5  # one call for each text
+    assert shown(external.score_logged(df, _service(logged), log, tasks=2, **calm)) == expected
+    assert len(list(logged.glob("*-*"))) == 6  # only the error is asked again
+    assert external.score_logged(df.limit(0), _service(logged), log, **calm).count() == 0
+
+
+def _no_clock():
+    return 0.0
+
+
+def _no_sleep(seconds):
+    return None
+
+
+def test_no_answered_call_is_repeated_after_a_failure_and_a_budget_holds(spark, tmp_path):
+    df = spark.range(40).selectExpr("id AS claim_id", "concat('text number ', id) AS claim")
+    calls, log = tmp_path / "calls", str(tmp_path / "log")
+    calls.mkdir()
+    calm = {"clock": _no_clock, "sleep": _no_sleep, "pause": 0.0, "tasks": 2, "every": 7}
+    asked = lambda: sorted(f.read_text() for f in calls.iterdir())
+    with pytest.raises(Exception, match="lost|SystemExit|Python worker"):
+        external.score_logged(df, _service(calls, "number 11"), log, **calm)
+    before = asked()
+    assert 0 < len(before) < 40
+    out = external.score_logged(df, _service(calls), log, budget=3, **calm)
+    assert len(asked()) == len(before) + 3 and out.where("prediction_raw IS NULL").count() == 40 - len(before) - 3
+    out = external.score_logged(df, _service(calls), log, **calm).collect()
+    assert len(asked()) == len(set(asked())) == 40  # each text was asked once
+    assert {r["claim_id"]: r["prediction_raw"] for r in out} == {k: f"Answer to text number {k}" for k in range(40)}
+
+
+def test_a_later_attempt_of_a_task_reads_what_the_first_one_wrote(tmp_path):
+    first = external.AnswerFolder(str(tmp_path / "task"), 2)
+    for k in range(3):
+        first.add({"digest": f"d{k}"})
+    assert external.AnswerFolder(str(tmp_path / "task"), 2).known() == {"d0", "d1"}
+    first.flush()
+    assert external.AnswerFolder(f"file:{tmp_path}/task", 2).known() == {"d0", "d1", "d2"}
