@@ -287,6 +287,24 @@ def encode(docs: DataFrame, classes: Classes) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([docs.schema["doc"], *found.fields]))
 
 
+def start_sample(training: DataFrame, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of about SAMPLE_TEXTS training texts, in hash order of their ids, as long as they fit SAMPLE_TOKENS together.
+
+    An id counts once, with the least of its texts, so that neither partitions nor copies change the outcome.
+    """
+    place = F.pmod(F.xxhash64(F.col("doc.doc_id").cast("string"), F.lit(SEED)), F.lit(1_000_000)).alias("place")
+    near = training.where(place < min(1_000_000, SAMPLE_TEXTS * 1_000_000 // max(1, texts)))
+    least = near.groupBy(F.col("doc.doc_id").cast("string").alias("id"), place).agg(F.min(F.struct(F.size("classes").alias("n"), F.xxhash64("classes"), "key")).alias("least"))
+    chosen, held = [], 0
+    for row in sorted(least.collect(), key=lambda r: (r["place"], r["id"] or "")):  # about SAMPLE_TEXTS rows
+        if held + row["least"]["n"] <= SAMPLE_TOKENS:
+            chosen.append(row["least"]["key"])
+            held += row["least"]["n"]
+    found = dict(training.where(F.col("key").isin(chosen)).select("key", "classes").collect()) if chosen else {}
+    pieces = [np.array(found[key], np.int32) for key in chosen]
+    return np.concatenate([*pieces, np.zeros(0, np.int32)]), np.cumsum([0, *map(len, pieces)])
+
+
 def score(docs: DataFrame, states: int = STATES, frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
@@ -303,15 +321,8 @@ def score(docs: DataFrame, states: int = STATES, frequent: int = FREQUENT, round
 
     overall = (classes.counts + ADD) / (classes.counts + ADD).sum()
     training = encoded.where("not held_out")
-    part = F.pmod(F.xxhash64(F.col("doc.doc_id").cast("string"), F.lit(SEED)), F.lit(1_000_000))
-    sample = training.where(part < min(1_000_000, SAMPLE_TEXTS * 1_000_000 // max(1, texts))).select("classes")
-    chosen, held = [], 0
-    for row in sample.toLocalIterator():
-        if held + len(row[0]) <= SAMPLE_TOKENS:
-            chosen.append(np.array(row[0], np.int32))
-            held += len(row[0])
-    tokens = np.concatenate([*chosen, np.zeros(0, np.int32)])
-    model = first_model(tokens, np.cumsum([0, *map(len, chosen)]), overall, states)
+    tokens, offsets = start_sample(training, texts)
+    model = first_model(tokens, offsets, overall, states)
     for _ in range(rounds if texts else 0):
         model = round_of_all(training, model, overall)
     shared = spark.sparkContext.broadcast(model)

@@ -65,5 +65,19 @@ def test_two_languages_beat_the_base_on_held_out_texts(spark):
     assert len(held) > 10 and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_the_start_is_the_same_however_rows_lie(spark, monkeypatch):
+    monkeypatch.setattr(hm, "SAMPLE_TOKENS", 300)
+    monkeypatch.setattr(hm, "SAMPLE_TEXTS", 20)
+    rows = [(k % 50, list(range(k % 50, 30 + k % 50))) for k in range(200)] + [(None, [7, 8])] * 3 + [(3, [1])]
+    table = spark.createDataFrame([(((k,), c)) for k, c in rows], "doc struct<doc_id:long>, classes array<int>")
+    found = []
+    for parts in (1, 5):
+        keyed = table.repartition(parts).withColumn("key", hm.F.monotonically_increasing_id())
+        tokens, offsets = hm.start_sample(hm.materialise(keyed, "rows"), 50)
+        found.append((tokens.tolist(), offsets.tolist()))
+    assert found[0] == found[1] and 0 < len(found[0][0]) <= 300 and len(found[0][1]) > 5
+    assert len({tuple(found[0][0][a:b]) for a, b in itertools.pairwise(found[0][1])}) == len(found[0][1]) - 1  # an id once
+
+
 def test_empty_table(empty):
     assert hm.score(empty, states=2, rounds=1).collect() == []
