@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +40,14 @@ SEED = 11
 
 LEADS, ENDS, SIZES = 9, 4, 3
 SHAPES = LEADS * ENDS * SIZES
+_ENDS = bytes(1 if b == 44 else 2 if b == 46 else 0 if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 3 for b in range(256))
 _WIDE = re.compile(rb"[\x80-\xff]+")
 
 
 def shape(word: bytes) -> int:
     """Number of a rare word's shape: its first letter beyond ASCII, its end, its length."""
     lead = 0 if word.isascii() else 1 + _WIDE.search(word)[0][-1] % (LEADS - 1)
-    last = word[-1]
-    end = 1 if last == 44 else 2 if last == 46 else 0 if 48 <= last <= 57 or 97 <= last <= 122 or last >= 128 else 3
-    return (lead * ENDS + end) * SIZES + (0 if len(word) <= 6 else 1 if len(word) <= 12 else 2)
+    return (lead * ENDS + _ENDS[word[-1]]) * SIZES + (0 if len(word) <= 6 else 1 if len(word) <= 12 else 2)
 
 
 class Shapes(dict):
@@ -69,8 +69,8 @@ def count_words(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            for data in batch.column("data"):
-                seen.update(data.as_py().translate(LOWER).split())
+            for data in batch.column("data").to_pylist():
+                seen.update(data.translate(LOWER).split())
                 if len(seen) > 400_000:
                     yield rows()
                     seen.clear()
@@ -99,9 +99,9 @@ class Classes:
         """Classes of the tokens of a text, the end last, and its rare words."""
         words = data.translate(LOWER).split()
         get = self.number.get
-        ids = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+        ids = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
         places = np.flatnonzero(ids < 0)
-        rare = [words[k] for k in places]
+        rare = [words[k] for k in places.tolist()]
         ids[places] = np.fromiter(map(shapes.__getitem__, rare), np.int32, len(rare)) + self.first_shape
         return np.append(ids, np.int32(self.end)), Counter(rare)
 
@@ -148,8 +148,9 @@ class Model:
         total = np.zeros(len(sizes))
         alpha = None
         for t, m in enumerate(active):
-            prior = np.broadcast_to(self.start, (m, len(self.start))) if t == 0 else alpha[:m] @ self.steps
-            alpha = prior * self.emit[tokens[begins[:m] + t]]
+            ahead = self.emit.take(tokens[begins[:m] + t], axis=0)
+            ahead *= self.start if t == 0 else alpha[:m] @ self.steps
+            alpha = ahead
             scale = alpha.sum(axis=1)
             alpha /= scale[:, None]
             total[:m] += np.log10(scale)
@@ -170,16 +171,19 @@ class Model:
         alpha, out, scales = [], [], []
         for t, m in enumerate(active):
             prior = np.where(first[:, None], self.start, self.late) if t == 0 else alpha[-1][:m] @ self.steps
-            out.append(self.emit[table[t, :m]])
-            now = prior * out[-1]
-            scales.append(now.sum(axis=1, keepdims=True))
-            alpha.append(now / scales[-1])
+            out.append(self.emit.take(table[t, :m], axis=0))
+            prior *= out[-1]
+            scales.append(prior.sum(axis=1, keepdims=True))
+            prior /= scales[-1]
+            alpha.append(prior)
         beta = np.ones((active[-1], k))
         seen = np.zeros((k, k))
         for t in range(len(active) - 1, -1, -1):
             m = active[t]
             if t + 1 < len(active):
-                ahead = out[t + 1] * beta / scales[t + 1]
+                ahead = out.pop()  # of t + 1, which is not looked at again
+                ahead *= beta
+                ahead /= scales[t + 1]
                 seen += alpha[t][:len(ahead)].T @ ahead
                 beta = np.ones((m, k))
                 beta[:len(ahead)] = ahead @ self.steps.T
