@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import zlib
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +26,12 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
+def text_of_rows(rows: pa.StructArray) -> pa.Array:
+    """The texts of structs of documents, so that they need not be sent beside them a second time; null counts as empty."""
+    names = [field.name.lower() for field in rows.type]
+    return pc.fill_null(rows.flatten()[names.index("text")], "")
+
+
 def crc(doc_id: Column) -> Column:
     """Unsigned crc32 of the id as text; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

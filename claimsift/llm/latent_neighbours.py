@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimsift.llm.common import remainder, text_bytes
+from claimsift.llm.common import remainder, text_bytes, text_of_rows
 
 LABELLED = 4096  # labelled rows that are fitted and compared with, at most
 WIDTH = 48  # latent dimensions
@@ -166,14 +166,14 @@ def scored(docs: DataFrame, model: Neighbours) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
         for batch in batches:
-            scores = []
+            scores, data = [], text_of_rows(batch.column("row")).cast(pa.binary())
             for at in range(0, batch.num_rows, BLOCK):
-                block = batch.column("data").slice(at, BLOCK)
+                block = data.slice(at, BLOCK)
                 scores.append(shared.value.vote(np.stack([counts(data.as_py(), shapes) for data in block])))
             found = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.float64())], names=["row", "score"])
 
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_bytes().alias("data"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return row.mapInArrow(run, T.StructType([row.schema["row"], T.StructField("score", T.DoubleType())]))
 
 

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimsift.llm.common import text_of_rows
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 MARGIN = 6  # words without a sign of personal data that a window takes along on either side
@@ -446,12 +448,13 @@ def redacted(docs: DataFrame, field: RandomField | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean: list[str | None] = []
+            whole = text_of_rows(batch.column("row"))
             for at in range(0, batch.num_rows, 1024):
-                texts = batch.column("text").slice(at, 1024).to_pylist()
+                texts = whole.slice(at, 1024).to_pylist()
                 clean += [redact(t, every) if every else None for t, (_, every) in zip(texts, find_spans(texts, shared.value), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(clean, pa.string())], names=["row", "clean"])
 
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     made = row.mapInArrow(run, T.StructType([row.schema["row"], T.StructField("clean", T.StringType())]))
     columns = []
     for c, kind in docs.dtypes:

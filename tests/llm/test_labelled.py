@@ -94,3 +94,12 @@ def test_pipeline_takes_effect_in_order(spark):
     assert 0.8 < kept[0] < 0.95 and 0.85 < kept[1] < 1 and 0.9 < kept[2] < 1 and kept[3] == 1 and docs.where("copies < 1").count() == 0
     found = queries.op8_simhash_trie(spark, SF)
     assert found.where("component_id > doc_id").count() == 0
+
+
+def test_texts_are_sent_to_the_classifier_once(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    found = ln.scored(docs, ln.fit(docs, labels))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "coalesce(text" not in plan
+    assert {r["row"]["doc_id"]: r["score"] for r in found.collect()} == {1: 0.5, 2: 0.5}
