@@ -49,7 +49,7 @@ def train_exported_model(train: DataFrame, size: int, stop_words: Sequence[str])
     vectoriser, counted = fit_vectoriser(rows, size, stop_words)
     encoder = fit_label_encoder(rows)
     vectors, _ = write_features(weight_arrays(counted, vectoriser.idf), len(vectoriser.vocabulary))
-    encoded = encode_labels(vectors, encoder).persist()
+    encoded = encode_labels(vectors, encoder).select("features", "label").persist()
     try:
         return train_logistic(encoded, vectoriser, encoder.labels)
     finally:
