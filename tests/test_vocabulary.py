@@ -56,3 +56,29 @@ def test_rows_that_are_kept_are_not_kept_twice(spark):
         loss.close()
     assert kept.is_cached
     kept.unpersist()
+
+
+@pytest.mark.parametrize("size", [1, 40, 250, 100_000])
+def test_coded_tokens_give_what_tokens_give(spark, monkeypatch, size):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{k}" for k in np.minimum(rng.zipf(1.4, n), 300)) for n in rng.integers(0, 60, 120)]
+    rows = [(k, None if k % 5 == 0 else k % 3 > 0, x) for k, x in enumerate([*texts, None, "", "w3 w3", "w1 w3 w2 ÄÖ äö", "w1 w2", "w1 w2"])]
+    df = spark.createDataFrame([*rows, *rows[-3:]], "claim_id long, learn boolean, claim string").repartition(5)
+    plain = models.materialise(with_tokens(df, "claim", "tokens", ["w3"]).drop("claim"), "tokens")
+    coded = models.materialise(features.code_tokens(with_tokens(df, "claim", "tokens").drop("claim"), F.col("learn"), "tokens", ["w3"]), "coded")
+    assert coded.count() <= 5 and "w3" not in [r[0] for r in coded.select(F.explode(F.arrays_zip("words", "totals")).alias("e")).where("e.totals > 0").select("e.words").collect()]
+    vocabulary = features.fit_vocabulary_of_tokens(plain.where("learn"), size, "tokens")
+    assert features.fit_vocabulary_of_coded(coded, size) == vocabulary
+    wanted = features.count_tokens(plain, features.TermBook(vocabulary))
+    found = features.count_coded(coded, features.TermBook(vocabulary))
+    assert found.columns == wanted.columns and sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+
+
+def test_training_stores_no_token_as_a_text(spark):
+    df = spark.createDataFrame([(1, "aa bb aa"), (2, None)], "claim_id long, claim string")
+    kept, make = {}, models.materialise
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(models, "materialise", lambda x, name: kept.setdefault(name, make(x, name)))
+        vectoriser, counted = models.fit_vectoriser(df, 10, ["zz"], masks=())
+    assert vectoriser.vocabulary == ["aa", "aa bb", "bb", "bb aa"] and counted.count() == 2
+    assert kept["tokens"].agg(F.sum(F.size("words"))).first()[0] == 2 and "_tokens" not in kept["tokens"].columns
