@@ -102,17 +102,24 @@ def _round(data: DataFrame, state: State, how: Descent, turn: int) -> tuple[Stat
 
 
 def descend(vectors: DataFrame, terms: int, classes: int, how: Descent) -> tuple[State, list[float]]:
-    """The model (terms x classes) for ``vectors(features, label)`` and the mean loss of each round."""
+    """The model (terms x classes) for ``vectors(features, label)``, kept while it lasts, and the mean loss of each round."""
     parts = F.unwrap_udt(F.col("features"))
     data = vectors.select(parts["indices"].alias("_indices"), parts["values"].alias("_weights"), F.col("label").cast("int"))
     data = data.coalesce(max(1, data.count() // how.task_rows))  # never more partitions than there are
+    own = not vectors.is_cached  # rows that the caller keeps are not kept twice
+    if own:
+        data.persist()
     state, losses = State(np.zeros((terms, classes)), np.zeros(classes)), []
     best, idle = np.inf, 0
-    for turn in range(how.rounds):
-        state, loss = _round(data, state, how, turn)
-        losses.append(loss)
-        idle = idle + 1 if loss > best * (1 - how.tolerance) else 0
-        best = min(best, loss)
-        if idle >= how.patience:
-            break
+    try:
+        for turn in range(how.rounds):
+            state, loss = _round(data, state, how, turn)
+            losses.append(loss)
+            idle = idle + 1 if loss > best * (1 - how.tolerance) else 0
+            best = min(best, loss)
+            if idle >= how.patience:
+                break
+    finally:
+        if own:
+            data.unpersist()
     return state, losses
